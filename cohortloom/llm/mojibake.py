@@ -40,8 +40,8 @@ DECODED = ["cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257"
 MULTI = ["cp932", "euc_jp", "gb18030", "big5", "cp949"]
 WIDE = ["gbk", "cp932", "big5", "cp949", "euc_jp"]
 
-#: A unit with the ASCII words beside it, and its core.
-UNIT = r"(?:[0-9A-Za-z]++ )?+[0-9A-Za-z]*+[^\x00-\x7F][0-9A-Za-z[^\x00-\x7F]]*+(?: [0-9A-Za-z]++(?![^\x00-\x7F]))?+"
+#: A unit with the ASCII words beside it, and its core. It starts where a word does, so each word is scanned once.
+UNIT = r"(?<![0-9A-Za-z])[0-9A-Za-z]*+ ?+[^\x00-\x7F][0-9A-Za-z[^\x00-\x7F]]*+(?: [0-9A-Za-z]++(?![^\x00-\x7F]))?+"
 CORE = r"[0-9A-Za-z]*+[^\x00-\x7F][0-9A-Za-z[^\x00-\x7F]]*+"
 #: Characters that only a wrong decoder leaves: U+FFFD and C1 controls (but for U+0085, a line end).
 LOST = r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]"
@@ -94,7 +94,7 @@ def undo(parts: list[bytes | str], written: str, lossy: bool = False) -> str | N
     """Text whose bytes are decoded as they were written; None if nothing can be.
 
     A character cut off at the end of a part is left out. Lossy: bytes were dropped on the way; what
-    is left of UTF-8 is decoded, with U+FFFD for the rest, if it is at least a quarter.
+    is left of UTF-8 is decoded, with U+FFFD for the rest, if it is at least a seventh.
     """
     out, changed = [], False
     for p in parts:
@@ -106,7 +106,7 @@ def undo(parts: list[bytes | str], written: str, lossy: bool = False) -> str | N
                 if lossy and written == "utf_8":
                     p = p.decode("utf_8", "replace")
                     good = sum(c > "\x7f" and c != "\ufffd" for c in p)
-                    changed = good >= 2 and 3 * good >= p.count("\ufffd")
+                    changed = good >= 2 and 6 * good >= p.count("\ufffd")
                     if not changed:
                         return None
                 elif written in MULTI and e.start >= max(len(p) - 2, 1):
@@ -163,10 +163,10 @@ def usual(text: str, counts: dict[str, int]) -> float:
 
 
 def doc_units(documents: DataFrame) -> DataFrame:
-    """doc_id and each distinct unit of its text."""
+    """doc_id and the distinct units of its text. Written once, as texts are read once; several stages use it."""
     df = documents.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x00-\x7F]"))
-    df = df.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(UNIT), 0))).alias("found"))
-    return df.select("doc_id", normal(F.col("found")).alias("unit"))
+    found = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(UNIT), 0)), normal))
+    return durable(df.select("doc_id", found.alias("units")))
 
 
 def normal(found: Column) -> Column:
@@ -176,11 +176,9 @@ def normal(found: Column) -> Column:
     return F.regexp_replace(F.when(strong, F.regexp_replace(core, r"^[0-9]++|[0-9]++$", "")).otherwise(found), r"[0-9]++", "0")
 
 
-def corpus_units(documents: DataFrame) -> DataFrame:
+def corpus_units(by_doc: DataFrame) -> DataFrame:
     """unit and n, the number of documents that hold it; written once."""
-    df = documents.select("text").filter(F.col("text").rlike(r"[^\x00-\x7F]"))
-    found = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(UNIT), 0)), normal))
-    return durable(df.select(F.explode(found).alias("unit")).groupBy("unit").agg(F.count("*").alias("n")))
+    return durable(by_doc.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")))
 
 
 def pair_counts(units: DataFrame) -> dict[str, int]:
@@ -224,13 +222,18 @@ def restored_forms(unit: str, by_decoded: dict[str, list[str]], known: set[str],
     for again in range(depth):
         new = []
         for text in front:
+            marks, tried = {c for c in text if c >= "\x80"}, set()
             for d, written in by_decoded.items():
+                if marks.isdisjoint(_narrow(d)) if d not in WIDE else len(marks) > 1 and not any("\u2e80" <= c for c in marks):
+                    continue
                 parts = raw_bytes(text, d)
+                key = tuple(parts)
                 if len(parts) > 8 or not any(isinstance(p, bytes) and not p.isascii() for p in parts):
                     continue
                 for w in written:
-                    if again and w != "utf_8":
+                    if again and w != "utf_8" or (key, w) in tried:
                         continue
+                    tried.add((key, w))
                     v = undo(parts, w)
                     if v is None and w == "utf_8" and d in ("latin_1", "cp1252"):
                         v = undo(parts, w, lossy=True)
@@ -269,7 +272,7 @@ def candidates(units: DataFrame, counts: dict[str, int], allowed: list[tuple[str
 def learn(units: DataFrame, counts: dict[str, int]) -> list[tuple[str, str]]:
     """Transformations with SUPPORT, by aligned twins or, for units without ASCII letters, by restored twins."""
     by_twin = twins(units).select("unit", "twin").mapInPandas(_aligned_support, "decoded string, written string, case string")
-    other = units.filter(~F.col("unit").rlike("[A-Za-z].*[A-Za-z]"))
+    other = units.filter(F.col("unit").rlike(r"[^\x00-\x7F]{3}") & ~F.col("unit").rlike("[A-Za-z].*[A-Za-z]"))
     tried = candidates(other, counts, transformations(), 1).filter(F.col("gain") >= GAIN / 2)
     known = units.select(F.col("unit").alias("restored"), F.col("n").alias("n_restored"))
     by_form = tried.join(known, "restored").filter(F.col("n_restored") > F.col("n")).select("decoded", "written", F.col("unit").alias("case"))
@@ -285,9 +288,9 @@ def _dropped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["unit", "restored", "decoded", "written", "sure"])
 
 
-def garbled_units(documents: DataFrame) -> DataFrame:
-    """unit, restored (null if it cannot be had back), decoded and written of each garbled unit; written once."""
-    units = corpus_units(documents)
+def garbled_units(by_doc: DataFrame) -> DataFrame:
+    """unit, restored (null if it cannot be had back), decoded, written and sure of each garbled unit; written once."""
+    units = corpus_units(by_doc)
     counts = pair_counts(units)
     tried = candidates(units, counts, learn(units, counts), DEPTH)
     known = units.select(F.col("unit").alias("restored"), F.col("n").alias("n_restored"))
@@ -312,11 +315,12 @@ def garbled_units(documents: DataFrame) -> DataFrame:
 
 def affected(documents: DataFrame) -> DataFrame:
     """doc_id and the garbled units of each document that has a sure one; lone symbols beside numbers only are not sure."""
-    bad = garbled_units(documents)
+    by_doc = doc_units(documents)
+    bad = garbled_units(by_doc)
     n = bad.agg(F.count("*").alias("n"), F.sum(F.length("unit")).alias("c")).first()
     if n["n"] <= BROADCAST_ROWS and (n["c"] or 0) <= 2 << 20:
         bad = F.broadcast(bad)
-    units = doc_units(documents).join(bad, "unit")
+    units = by_doc.select("doc_id", F.explode("units").alias("unit")).join(bad, "unit")
     units = units.groupBy("doc_id").agg(F.max("sure").alias("any"), F.collect_set(F.struct("unit", "restored", "decoded", "written")).alias("units"))
     return units.filter("any").select("doc_id", "units")
 
