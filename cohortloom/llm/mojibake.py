@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, durable
+from ..session import BROADCAST_ROWS, durable, parallelism
 
 #: Names of encodings in which text may have been written, and as which it may have been decoded.
 WRITTEN = ["utf_8", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic", "cp932", "euc_jp", "gb18030", "big5", "cp949"]
@@ -178,7 +178,9 @@ def normal(found: Column) -> Column:
 
 def corpus_units(by_doc: DataFrame) -> DataFrame:
     """unit and n, the number of documents that hold it; written once."""
-    return durable(by_doc.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")))
+    df = by_doc.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    # few bytes but much work each: partitions of a set number, so that they aren't coalesced into a few tasks
+    return durable(df.repartition(2 * parallelism(df.sparkSession), "unit"))
 
 
 def pair_counts(units: DataFrame) -> dict[str, int]:
