@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import build, match
-from ..session import table
+from ..session import durable, parallelism, table
 
 SAMPLES = 8
 
 
 @dataclass
 class Cohort:
-    """The tables of one data directory, each defined when first asked for."""
+    """The tables of one data directory, each defined when first asked for.
+
+    Profiles, read shapes, the cohort and site hits are the index that several steps of a query read; they
+    are written once.
+    """
 
     spark: SparkSession
     d: str
@@ -30,11 +34,11 @@ class Cohort:
         i = lambda k: k + F.col("v") % 2
         exon = lambda k: F.struct((100000 * F.col("g") + 2000 * i(k) + F.when((F.col("v") >= 2) & (i(k) % 2 == 1), 100).otherwise(0)).alias("s"), (100000 * F.col("g") + 2000 * i(k) + 300).alias("e"))
         df = part.withColumn("exons", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_exon").cast("bigint") - 1), exon))
-        return df.select(
+        return durable(df.select(
             "tx_idx", "g", "v", "n_exon", F.concat(F.lit("C"), F.col("g") % 5).alias("chrom"), F.col("exons")[0]["s"].alias("start"), F.element_at("exons", -1)["e"].alias("end"),
             F.when(F.col("g") % 2 == 0, "+").otherwise("-").alias("strand"), F.concat(F.lit("T"), "tx_idx").alias("tx_id"), F.concat(F.lit("G"), "g").alias("gene_id"),
             "exons", build.junctions(F.col("exons")).alias("sj"), (F.col("n_exon") == 1).alias("is_mono"),
-        )
+        ))
 
     @cached_property
     def grouped(self) -> DataFrame:
@@ -51,8 +55,9 @@ class Cohort:
         tx = self.tx.filter("not (n_exon = 6 and v = 3)").select(F.col("tx_idx").alias("l_partkey"), "g", "n_exon", "chrom", "strand", "exons")
         skip = F.least(F.col("l_linenumber") % 3, F.col("n_exon") - 1)
         shift = F.when(F.col("l_linenumber") == 7, F.col("q") % 5 - 2).otherwise(0)
-        df = li.join(tx, "l_partkey").withColumn("shift", shift).withColumn("kept", F.slice("exons", skip + 1, F.col("n_exon")))
-        n = F.size("kept")
+        # the driver's table is one file: spread its rows, as the arrays below are the work
+        df = li.repartition(2 * parallelism(self.spark)).join(tx, "l_partkey").withColumn("shift", shift).withColumn("kept", F.slice("exons", skip + 1, F.col("n_exon")))
+        n = F.col("n_exon") - skip
         fixed = F.transform("kept", lambda x, i: F.struct(
             (x["s"] + F.col("shift") - F.when((i == 0) & (n > 1), F.col("q") % 7).otherwise(0)).alias("s"),
             (x["e"] + F.col("shift") + F.when(i == n - 1, F.col("tax")).otherwise(0)).alias("e"),
@@ -62,19 +67,19 @@ class Cohort:
         seg = F.array(F.struct(F.concat(F.lit("C"), mate % 5).alias("chrom"), at.alias("s"), (at + 300).alias("e"), F.lit("+").alias("strand")))
         supp = F.when(F.col("disc").isin(0, 10) & (mate >= 1), seg).otherwise(F.array().cast("array<struct<chrom:string,s:bigint,e:bigint,strand:string>>"))
         df = df.select((F.col("l_suppkey") % SAMPLES).alias("sample_id"), "chrom", "strand", fixed.alias("exons"), supp.alias("supp"))
-        return build.with_signature(df)
+        return durable(build.with_signature(df))
 
     @cached_property
     def profile(self) -> DataFrame:
-        return build.profiles(self.reads)
+        return durable(build.profiles(self.reads))
 
     @cached_property
     def shapes(self) -> DataFrame:
-        return build.read_shapes(self.reads)
+        return durable(build.read_shapes(self.reads))
 
     @cached_property
     def pnir(self) -> DataFrame:
-        return build.cohort(self.profile, self.shapes)
+        return durable(build.cohort(self.profile, self.shapes))
 
     @cached_property
     def site(self) -> DataFrame:
@@ -86,11 +91,11 @@ class Cohort:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return match.site_hits(match.tx_sites(self.tx), self.site, 10)
+        return durable(match.site_hits(match.tx_sites(self.tx), self.site, 10))
 
     @cached_property
     def fsm(self) -> DataFrame:
-        return match.full_matches(self.hits, self.tx)
+        return durable(match.full_matches(self.hits, self.tx))
 
     @cached_property
     def partial(self) -> DataFrame:
