@@ -76,7 +76,7 @@ manifest AS (SELECT m.line_id, m.series, m.file_no, m.f, h.names, CASE WHEN tabb
 _PERIODS = f"""
 WITH spans AS (SELECT 'chrom' AS grain, {_BARE.format("chrom")} AS chrom, '' AS gene_id, gene_start AS s, gene_end AS e FROM gene
   UNION ALL SELECT 'gene', {_BARE.format("chrom")}, gene_id, x.s, x.e FROM (SELECT chrom, gene_id, unnest(exons) AS x FROM transcript WHERE gene_id <> '')),
-good AS (SELECT * FROM spans WHERE e > s AND chrom <> ''),
+good AS (SELECT DISTINCT * FROM spans WHERE e > s AND chrom <> ''),
 seen AS (SELECT *, max(e) OVER (PARTITION BY grain, chrom, gene_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM good),
 isle AS (SELECT *, sum(CASE WHEN upto IS NULL OR s > upto THEN 1 ELSE 0 END) OVER (PARTITION BY grain, chrom, gene_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM seen),
 per AS (SELECT grain, chrom, gene_id, min(s) AS start_pos, max(e) AS end_pos FROM isle GROUP BY grain, chrom, gene_id, g),
