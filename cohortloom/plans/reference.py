@@ -116,8 +116,10 @@ def ref_j2_flank_lookup(c: Cohort) -> DataFrame:
 def ref_j3_range_scan(c: Cohort) -> DataFrame:
     from ..operators.rangejoin import range_join
 
-    q = c.tx.filter("tx_idx % 20 = 0").select("tx_idx", "chrom", "start", "end")
-    return range_join(q, c.site, F.col("start"), F.col("end"), "pos", 1 << 12).select("tx_idx", "pid", "kind").distinct()
+    # transcripts share intervals: each is looked up once
+    q = c.tx.select("chrom", "start", "end").distinct()
+    hits = range_join(q, c.site, F.col("start"), F.col("end"), "pos", 1 << 12).select("chrom", "start", "end", "pid", "kind").distinct()
+    return c.tx.select("tx_idx", "chrom", "start", "end").join(hits, ["chrom", "start", "end"]).select("tx_idx", "pid", "kind").distinct()
 
 
 @query("SELECT tx_idx, sj_no, side, count(DISTINCT pid) AS n FROM hits GROUP BY ALL")
