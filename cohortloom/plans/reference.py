@@ -185,7 +185,7 @@ def ref_w1_overlap_groups(c: Cohort) -> DataFrame:
 @query("""SELECT s.chrom, seg_start, seg_end, tx_idx FROM (SELECT chrom, p AS seg_start, lead(p) OVER (PARTITION BY chrom ORDER BY p) AS seg_end
   FROM (SELECT DISTINCT chrom, unnest([start, "end"]) AS p FROM tx WHERE tx_idx % 10 = 0)) s JOIN tx ON tx.chrom = s.chrom AND start <= seg_start AND "end" >= seg_end AND tx_idx % 10 = 0""")
 def ref_w2_elementary_segments(c: Cohort) -> DataFrame:
-    return match.elementary_segments(c.tx.filter("tx_idx % 10 = 0"), "chrom", "start", "end", "tx_idx")
+    return match.elementary_segments(c.tx, "chrom", "start", "end", "tx_idx")
 
 
 @query("SELECT tx_idx, row_number() OVER (PARTITION BY gene_id ORDER BY start, \"end\", tx_idx)::INT AS ordinal, start - lag(\"end\") OVER (PARTITION BY gene_id ORDER BY start, \"end\", tx_idx) AS gap FROM tx")

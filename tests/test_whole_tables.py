@@ -23,3 +23,19 @@ def test_range_scan_looks_up_every_transcript(spark, sf):
     got = rows(reference.QUERIES["ref_j3_range_scan"](spark, sf))
     assert len(got) == len(set(got)) and set(got) == want
     assert any(tx_idx % 20 for tx_idx, _, _ in got)
+
+
+def test_segments_of_every_transcript(spark, sf):
+    tx = Cohort(spark, sf).tx.select("tx_idx", "chrom", "start", "end").collect()
+    points = defaultdict(set)
+    for t in tx:
+        points[t["chrom"]] |= {t["start"], t["end"]}
+    points = {k: sorted(v) for k, v in points.items()}
+    want = []
+    for t in tx:
+        at = points[t["chrom"]]
+        at = at[bisect_left(at, t["start"]) : bisect_right(at, t["end"])]
+        want += [(t["chrom"], a, b, t["tx_idx"]) for a, b in zip(at, at[1:])]
+    got = rows(reference.QUERIES["ref_w2_elementary_segments"](spark, sf))
+    assert got == sorted(want, key=repr)
+    assert any(r[3] % 10 for r in got)
