@@ -68,3 +68,8 @@ def test_aligned_and_undo():
     assert mojibake.aligned("für", "fur") == []
     assert mojibake.undo(mojibake.raw_bytes("fÃ¼r", "cp1252"), "utf_8") == "für"
     assert mojibake.undo(mojibake.raw_bytes("für", "cp1252"), "utf_8") is None
+
+
+def test_short_units_are_learned_from(spark):
+    units = spark.createDataFrame([("0 ░C", 2), ("0 °C", 500), ("▒0", 2), ("±0", 500)], "unit string, n bigint")
+    assert ("cp437", "cp1252") in mojibake.learn(units, mojibake.pair_counts(units))
