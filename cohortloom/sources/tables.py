@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.genome import bare_chrom, split_fields
+from ..operators import stats
 
 NAME = r"[^:,\s]+"
 
@@ -116,6 +117,32 @@ def parse_regions(text: str) -> tuple[str, int, int, str, int, int]:
     return _bare(c), int(a), int(b), _bare(d), int(e), int(f)
 
 
+def region_query(chr1: str, s1: int, e1: int, chr2: str, s2: int, e2: int) -> tuple[str, int, int, str, int, int]:
+    """Centre and half width of both regions by integer division; an odd width loses a position, so lookups use the bounds."""
+    return chr1, (s1 + e1) // 2, (e1 - s1) // 2, chr2, (s2 + e2) // 2, (e2 - s2) // 2
+
+
+def is_single_bp(s1: int, e1: int, s2: int, e2: int) -> bool:
+    """Both regions are one position."""
+    return s1 == e1 and s2 == e2
+
+
+def trim_prefix(text: str, prefix: str | None) -> str:
+    """Text without the prefix, however often it is repeated."""
+    while prefix and text.startswith(prefix):
+        text = text[len(prefix) :]
+    return text
+
+
+def add_prefix(text: str, prefix: str | None) -> str:
+    return (prefix or "") + text
+
+
+def add_gz_suffix(path: str) -> str:
+    """Path that ends with .gz; a final dot is not doubled."""
+    return path if re.search(r"[^/]\.gz$", path) else path + ("gz" if re.search(r"[^/]\.$", path) else ".gz")
+
+
 def wide(df: DataFrame, keys: list[str], sample: str, cell: str, samples: list[str], missing: str = "0:0:NULL") -> DataFrame:
     """Long results with one column a sample; the list of samples is given, so nothing is scanned to find it."""
     return df.groupBy(*keys).pivot(sample, samples).agg(F.first(cell)).fillna(missing, samples)
@@ -156,6 +183,35 @@ def merge_results(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("sample in both tables: "), "sample"))).otherwise(F.col("sample")).alias("sample"), "cell")
 
 
+def merge_isoform(a: DataFrame, b: DataFrame, keys: list[str], totals_a: dict[str, int], totals_b: dict[str, int]) -> DataFrame:
+    """Isoform results of two tables in one: keys, detected, positives, confidence, sample, cell.
+
+    Each table is long with keys (the fixed fields), positives (a:b:c/n), sample and cell, and has every
+    sample of its totals in each row; COUNT is part 1 of a cell. Positives are summed part by part,
+    detected follows them, and confidence is computed anew over the samples of both. A sample in both,
+    rows that do not align and cells without a count are errors.
+    """
+    if shared := sorted(set(totals_a) & set(totals_b)):
+        raise ValueError(f"samples in both tables: {shared}")
+    totals = totals_a | totals_b
+    side = lambda df, n: df.select(F.struct(*keys).alias("_key"), "positives", "sample", "cell", F.lit(n).alias("_src"))
+    both = side(a, 1).unionByName(side(b, 2))
+    total = a.sparkSession.createDataFrame(list(totals.items()), "sample string, _total bigint")
+    both = both.join(F.broadcast(total), "sample", "left")
+    x = cell_part(F.col("cell"), 1)
+    both = both.withColumn("_x", F.when(x.isNull() | F.col("_total").isNull(), F.raise_error(F.concat(F.lit("no count or no total: "), "sample"))).otherwise(x))
+    of = lambda n: F.max(F.when(F.col("_src") == n, F.col("positives")))
+    head = both.groupBy("_key").agg(F.countDistinct("_src", "sample").alias("_d"), F.count("*").alias("_n"), F.countDistinct("_src", "positives").alias("_p"), of(1).alias("_a"), of(2).alias("_b"))
+    fits = (F.col("_d") == len(totals)) & (F.col("_n") == len(totals)) & (F.col("_p") == 2)
+    counts = lambda c: F.transform(F.split(F.split_part(F.col(c), F.lit("/"), F.lit(1)), ":"), lambda v: v.cast("bigint"))
+    head = head.withColumn("_sum", F.when(fits, F.zip_with(counts("_a"), counts("_b"), lambda v, w: v + w)).otherwise(F.raise_error(F.concat(F.lit("rows do not align: "), F.to_json("_key")))))
+    detected = F.array_join(F.transform("_sum", lambda v: F.when(v > 0, "yes").otherwise("no")), ":")
+    positives = F.concat(F.array_join("_sum", ":"), F.lit(f"/{len(totals)}"))
+    head = head.select("_key", detected.alias("detected"), positives.alias("positives"))
+    df = both.select("_key", "sample", "cell").join(head, "_key").join(stats.confidence(both, "_key", "_x", "_total", len(totals)), "_key")
+    return df.select("_key.*", "detected", "positives", "confidence", "sample", "cell")
+
+
 def cell_part(cell: Column, i: int) -> Column:
     """Part i (from 0) of a cell a:b:c as a number; null if it is none."""
     return F.get(F.split(cell, ":"), F.lit(i)).try_cast("double")

@@ -120,3 +120,26 @@ def test_stream(spark, tmp_path):
         row(s, n).write.mode("append").parquet(str(tmp_path / "in"))
         ingest.append_batches(ingest.stream_profiles(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r["sample_id"], r["evidence"]) for r in ingest.cohort_profile(spark, str(tmp_path / "out")).collect()) == [(0, 6), (1, 3)]
+
+
+def test_merge_isoform(spark):
+    schema = "tx string, min_read int, positives string, sample string, cell string"
+    a = spark.createDataFrame([("t1", 1, "1:1:0/2", "a", "0:4:0:4:0:0"), ("t1", 1, "1:1:0/2", "b", "0:0:0:0:0:0"), ("t2", 1, "0:0:0/2", "a", "0:0:0:0:0:0"), ("t2", 1, "0:0:0/2", "b", "0:0:0:0:0:0")], schema)
+    b = spark.createDataFrame([("t1", 1, "1:0:1/1", "c", "0:2:0:0:0:2"), ("t2", 1, "0:0:0/1", "c", "0:0:0:0:0:0")], schema)
+    totals = {"a": 1000, "b": 1000}, {"c": 500}
+    got = tables.merge_isoform(a, b, ["tx", "min_read"], *totals).collect()
+    head = {(r["tx"], r["detected"], r["positives"], round(r["confidence"], 6)) for r in got}
+    # two of three samples, both with 4000 counts per million; g = 2 * (1 * 4 + 2 * 2) / (3 * 6) - 4 / 3
+    assert head == {("t1", "yes:yes:yes", "2:1:1/3", round(2 / 3 * 4000 * (1 - (16 / 18 - 4 / 3)), 6)), ("t2", "no:no:no", "0:0:0/3", 0.0)}
+    assert len(got) == 6 and {r["cell"] for r in got if (r["tx"], r["sample"]) == ("t1", "c")} == {"0:2:0:0:0:2"}
+    with pytest.raises(Exception, match="do not align"):
+        tables.merge_isoform(a, b.filter("tx = 't1'"), ["tx", "min_read"], *totals).collect()
+    with pytest.raises(ValueError, match="both tables"):
+        tables.merge_isoform(a, a, ["tx", "min_read"], totals[0], totals[0])
+
+
+def test_regions_and_names():
+    assert tables.region_query("1", 100, 200, "2", 5, 8) == ("1", 150, 50, "2", 6, 1)
+    assert tables.is_single_bp(5, 5, 7, 7) and not tables.is_single_bp(5, 5, 7, 8)
+    assert tables.trim_prefix("chrchr1", "chr") == "1" and tables.trim_prefix("chr1", None) == "chr1" and tables.add_prefix("1", "chr") == "chr1"
+    assert [tables.add_gz_suffix(p) for p in ("file.txt", "file.txt.gz", "file", "file.")] == ["file.txt.gz", "file.txt.gz", "file.gz", "file.gz"]
