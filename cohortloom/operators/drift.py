@@ -10,7 +10,8 @@ score table of one file pair, whose size is set by its columns, not by its rows.
 
 Defined cases. Only lines valid under the strict load count, each once. Files without a header are
 unknown. Empty, NA, NULL and . are missing; a column without values has no type and changes none.
-Of a sample listed twice in a file the smallest value of a column counts. Of columns that share
+Of a sample listed twice in a file all values count, equal ones once; only renames compare its smallest
+value that is not missing. Of columns that share
 one name in a file the first counts. Ties between candidates go to the smaller names.
 """
 
@@ -54,12 +55,11 @@ def column_type(v: Column) -> Column:
 
 
 def attribute_cells(manifest_raw: DataFrame) -> DataFrame:
-    """series, file_no, sample, name, value of the columns from the third on, by valid lines."""
+    """series, file_no, sample, name and each distinct value of the columns from the third on, over all valid lines."""
     rows = load_manifest(manifest_raw)
-    cells = rows.select("series", "file_no", "sample", F.posexplode(F.arrays_zip("names", "values")).alias("i", "c"))
-    cells = cells.filter((F.col("i") >= 2) & (F.col("c.names") != "")).select("series", "file_no", "sample", "i", F.col("c.names").alias("name"), F.col("c.values").alias("value"))
-    first = cells.groupBy("series", "file_no", "sample", "name").agg(F.min_by("value", F.struct("i", "value")).alias("value"))
-    return first
+    cells = rows.select("series", "file_no", "sample", "names", F.posexplode(F.arrays_zip("names", "values")).alias("i", "c"))
+    cells = cells.filter((F.col("i") >= 2) & (F.col("c.names") != "")).filter(F.array_position(F.slice("names", 3, 1_000_000), F.col("c.names")) == F.col("i") - 1)
+    return cells.select("series", "file_no", "sample", F.col("c.names").alias("name"), F.col("c.values").alias("value")).distinct()
 
 
 def file_pairs(headers: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def renames(cells: DataFrame, types: DataFrame, pairs: DataFrame) -> DataFrame:
     cand = open_pairs.select("series", "file_no", "prev_no", F.explode("gone").alias("old_name"), "come").withColumn("new_name", F.explode("come")).drop("come")
     old_cols = open_pairs.select("series", F.col("prev_no"), "file_no", F.explode("gone").alias("name"))
     new_cols = open_pairs.select("series", "file_no", F.explode("come").alias("name"))
-    present = cells.filter(~F.col("value").isin(*MISSING))
+    present = cells.filter(~F.col("value").isin(*MISSING)).groupBy("series", "file_no", "sample", "name").agg(F.min("value").alias("value"))
     a = present.withColumnRenamed("file_no", "prev_no").join(old_cols, ["series", "prev_no", "name"]).select("series", "file_no", "sample", F.col("name").alias("old_name"), F.col("value").alias("old_value"))
     b = present.join(new_cols, ["series", "file_no", "name"]).select("series", "file_no", "sample", F.col("name").alias("new_name"), F.col("value").alias("new_value"))
     shared = a.join(b, ["series", "file_no", "sample"]).groupBy("series", "file_no", "old_name", "new_name")

@@ -144,3 +144,12 @@ def test_unpack_cases(spark, text, style, want):
     df = spark.createDataFrame([(1, text)], "id bigint, t string")
     got = sorted((r[1], r[2]) for r in packed.unpack(df, "id", "t", **packed.STYLES[style]).collect())
     assert got == want
+
+
+def test_all_lines_of_a_sample_count(spark):
+    files = {1: ["n\tp\tage", "a\t/a.isoform.gz\t5", "a\t/b.isoform.gz\tx", "b\t/c.isoform.gz\t7", "b\t/c.isoform.gz\t"], 2: ["n\tp\tage", "a\t/a.isoform.gz\t5"]}
+    raw = [(100 * k + i, "s", k, i, v) for k, text in files.items() for i, v in enumerate(text, 1)]
+    df = spark.createDataFrame(raw, "line_id bigint, series string, file_no int, line_no int, raw_line string")
+    assert rows(drift.schema_changes(df)) == [("s", 2, "retyped", "age", "age")]
+    got = [(r[1], r[2], r[4]) for r in drift.consistent_table(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "a", "5"), (1, "a", "x"), (1, "b", "7"), (1, "b", None), (2, "a", "5")], key=repr)
