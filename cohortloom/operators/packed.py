@@ -3,8 +3,8 @@
 A field is cut into tokens: each run of ordinary characters, each run of white space and each
 separator or quote is one. Its skeleton is the string of token classes, so fields that differ in
 ordinary characters only share one. How a skeleton splits is resolved once, as token positions of
-each piece; the rules are broadcast if they are shown to be few, else joined by the skeleton, and
-pieces are taken out of the tokens by position.
+each piece; the rules are broadcast if they are shown to be few, else joined by the skeleton with hot
+skeletons apart, and pieces are taken out of the tokens by position.
 
 Defined cases. Null, empty and blank fields have no pieces. An empty piece takes a number and is
 not listed. A quote opens only at the start of a piece (or of an attribute's value) and only if its
@@ -17,10 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, durable
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, durable, parallelism
 
 #: Separators and joiners of each kind of field; a blank among the separators stands for white space.
 STYLES = {
@@ -32,8 +32,12 @@ RULE = "array<struct<n:int,a:int,b:int,q:string,va:int,vb:int,vq:string>>"
 WHITE = r"\s"
 
 
+def _single(separators: str, joiners: str) -> str:
+    return "".join(f"\\{c}" for c in sorted(set((separators + joiners).replace(" ", "")))) + "\"'"
+
+
 def token_pattern(separators: str, joiners: str) -> str:
-    single = "".join(f"\\{c}" for c in sorted(set((separators + joiners).replace(" ", "")))) + "\"'"
+    single = _single(separators, joiners)
     return rf"[^{single}{WHITE}]++|{WHITE}++|[{single}]"
 
 
@@ -103,7 +107,7 @@ def _rules(separators: str, joiners: str):
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rules = [[{"n": n, "a": a, "b": b, "q": q, "va": va, "vb": vb, "vq": vq} for n, a, b, q, va, vb, vq in split_rule(s, separators, joiners)] for s in df["skeleton"]]
-            yield pd.DataFrame({"skeleton": df["skeleton"], "rule": rules})
+            yield pd.DataFrame({"skeleton": df["skeleton"], "often": df["often"], "rule": rules})
 
     return resolve
 
@@ -113,28 +117,49 @@ def _text(tokens, a, b, q):
     return F.when(q == "", joined).otherwise(F.replace(joined, F.concat(q, q), q))
 
 
-def unpack(df: DataFrame, row_id: str, field: str, separators: str, joiners: str = "") -> DataFrame:
-    """One row per value of `field`: the id, piece_no (from 1) and piece.
+def skeleton(field: Column, separators: str, joiners: str) -> Column:
+    """The string of token classes: a for ordinary characters, a blank for white space, each separator and quote itself."""
+    return F.regexp_replace(F.regexp_replace(field, rf"[^{_single(separators, joiners)}{WHITE}]++", "a"), rf"{WHITE}++", " ")
 
-    The distinct skeletons are written once; they are broadcast only if they number at most
-    BROADCAST_ROWS and hold at most 4 MB, and joined by the skeleton otherwise.
+
+def with_rules(df: DataFrame, rules: DataFrame, total: int) -> DataFrame:
+    """Rows with the rule of their skeleton.
+
+    Rules that are few and small are broadcast. Beyond that, the skeletons that hold at least a
+    thousandth of the rows each, of which there can be no more than 1,000, are broadcast (long ones
+    aside), and the rest are joined by shuffle, where none of them is hot.
     """
-    f = F.col(field)
-    df = df.select(row_id, f).filter(f.isNotNull() & ~f.rlike(rf"\A{WHITE}*+\z")).dropDuplicates([row_id])
-    df = df.select(row_id, F.regexp_extract_all(field, F.lit(token_pattern(separators, joiners)), 0).alias("tokens"))
-    single = "".join(sorted(set((separators + joiners).replace(" ", "")))) + "\"'"
-    mask = lambda t: F.when(t.rlike(rf"\A{WHITE}"), " ").when((F.length(t) == 1) & F.contains(F.lit(single), t), t).otherwise("a")
-    df = df.withColumn("skeleton", F.array_join(F.transform("tokens", mask), ""))
-    rules = df.select("skeleton").distinct().mapInPandas(_rules(separators, joiners), f"skeleton string, rule {RULE}")
-    rules = durable(rules)
     size = rules.agg(F.count("*").alias("n"), F.sum(F.length("skeleton") + 48 * F.size("rule")).alias("b")).first()
-    if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= 4 << 20:
-        rules = F.broadcast(rules)
-    df = df.join(rules, "skeleton").select(row_id, "tokens", F.explode("rule").alias("r"))
+    rules = rules.drop("n")
+    if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(rules), "skeleton")
+    return split_join(df, rules, total)
+
+
+def split_join(df: DataFrame, rules: DataFrame, total: int) -> DataFrame:
+    """with_rules beyond the bound; rules have `often`, the rows of the skeleton."""
+    hot = (F.col("often") * 1000 >= total) & (F.length("skeleton") <= 1024)
+    shown = F.broadcast(rules.filter(hot).select("skeleton", F.col("rule").alias("_hot")))
+    df = df.join(shown, "skeleton", "left")
+    found = df.filter(F.col("_hot").isNotNull()).withColumnRenamed("_hot", "rule")
+    rest = df.filter(F.col("_hot").isNull()).drop("_hot").join(rules.filter(~hot).select("skeleton", "rule"), "skeleton")
+    return found.unionByName(rest)
+
+
+def unpack(df: DataFrame, row_id: str, field: str, separators: str, joiners: str = "") -> DataFrame:
+    """One row per value of `field`: the id, piece_no (from 1) and piece."""
+    f = F.col(field)
+    df = df.select(F.col(row_id).alias("_id"), f.alias("_f")).filter(f.isNotNull() & ~f.rlike(rf"\A{WHITE}*+\z"))
+    df = df.withColumn("skeleton", skeleton(F.col("_f"), separators, joiners))
+    counts = durable(df.groupBy("skeleton").agg(F.count("*").alias("often")))
+    rules = durable(counts.repartition(parallelism(df.sparkSession)).mapInPandas(_rules(separators, joiners), f"skeleton string, often bigint, rule {RULE}"))
+    total = rules.agg(F.sum("often").alias("n")).first()["n"] or 0
+    df = with_rules(df.dropDuplicates(["_id"]), rules, total)
+    df = df.withColumn("tokens", F.regexp_extract_all("_f", F.lit(token_pattern(separators, joiners)), 0)).select("_id", "tokens", F.explode("rule").alias("r"))
     piece = F.when(F.col("r.va") < 0, _text(F.col("tokens"), F.col("r.a"), F.col("r.b"), F.col("r.q"))).otherwise(
         F.concat(_text(F.col("tokens"), F.col("r.a"), F.col("r.b"), F.col("r.q")), F.lit(":"), _text(F.col("tokens"), F.col("r.va"), F.col("r.vb"), F.col("r.vq")))
     )
-    return df.select(row_id, F.col("r.n").alias("piece_no"), piece.alias("piece")).filter(F.col("piece") != "")
+    return df.select(F.col("_id").alias(row_id), F.col("r.n").alias("piece_no"), piece.alias("piece")).filter(F.col("piece") != "")
 
 
 def unpack_tables(gene: DataFrame, sample_chip: DataFrame, transcript: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Manifests, metadata, query files and result tables.
 
-Defined cases. The first manifest line is the header; blank lines are skipped; a sample listed again
+Defined cases. The first line of each manifest is its header; blank lines are skipped; a sample listed again
 collapses into its first row (smallest line). Metadata are text; attributes that only one side of a
 merge has are NA on the other. BED lines that are blank, start with # or lack fields are skipped.
 Strings for positions must fit their form, else ValueError. A sample in two result tables is an
@@ -16,25 +16,28 @@ from pyspark.sql import functions as F
 
 from ..functions.genome import bare_chrom, split_fields
 from ..operators import stats
+from ..session import bounded_broadcast, durable, from_nth, parallelism
 
 NAME = r"[^:,\s]+"
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """sample_id (by order in the file), name, path and attrs (a map) of a manifest."""
-    first = spark.read.text(path).limit(1).first()
-    if first is None:
+def read_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """sample_id (by file, then by line), name, path and attrs (a map) of manifests, each with its own header line."""
+    at = F.monotonically_increasing_id()
+    lines = durable(spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), at.alias("line"), "value").filter(F.trim("value") != ""))
+    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("header"), F.min("line").alias("head_line"))
+    n = heads.agg(F.count("*").alias("n"), F.min(F.size(split_fields(F.col("header")))).alias("least")).first()
+    if n["n"] == 0:
         raise ValueError("empty manifest")
-    header = re.split("\t", first[0]) if "\t" in first[0] else first[0].split()
-    if len(header) < 2:
+    if n["least"] < 2:
         raise ValueError("a manifest has at least two columns")
-    df = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).filter((F.col("value") != first[0]) & (F.trim("value") != ""))
-    df = df.withColumn("f", split_fields(F.col("value"))).withColumn("ok", F.size("f") == len(header))
-    keys = F.array(*(F.lit(h) for h in header[2:])).cast("array<string>")
-    df = df.select("line", F.when(F.col("ok"), F.col("f")).otherwise(F.raise_error(F.concat(F.lit("line does not fit the header: "), "value"))).alias("f"))
-    one = df.groupBy(F.col("f")[0].alias("name")).agg(F.min(F.struct("line", F.col("f")[1].alias("path"), F.slice("f", 3, 1_000_000).alias("v"))).alias("r"))
-    order = F.row_number().over(Window.orderBy("r.line")) - 1
-    return one.select(order.alias("sample_id"), "name", "r.path", F.map_from_arrays(keys, F.col("r.v")).alias("attrs"))
+    df = lines.join(bounded_broadcast(heads), "file").filter("line <> head_line")
+    df = df.withColumn("f", split_fields(F.col("value"))).withColumn("h", split_fields(F.col("header")))
+    df = df.select("line", "h", F.when(F.size("f") == F.size("h"), F.col("f")).otherwise(F.raise_error(F.concat(F.lit("line does not fit the header: "), "value"))).alias("f"))
+    attrs = F.map_from_entries(F.arrays_zip(F.array_distinct(from_nth("h", 3)), F.filter(from_nth("f", 3), lambda _, i: F.array_position(from_nth("h", 3), F.get("h", i + 2)) == i + 1)))
+    one = df.select("line", F.col("f")[0].alias("name"), F.col("f")[1].alias("path"), F.map_entries(attrs).alias("attrs"))
+    one = one.groupBy("name").agg(F.min(F.struct("line", "path", "attrs")).alias("r")).select("name", "r.line", "r.path", F.map_from_entries("r.attrs").alias("attrs"))
+    return number_rows(one, "line").select((F.col("row_no") - 1).alias("sample_id"), "name", "path", "attrs")
 
 
 def duplicate_samples(meta: DataFrame, name: str = "name") -> DataFrame:
@@ -48,7 +51,7 @@ def merge_meta(a: DataFrame, b: DataFrame, fill: str = "NA") -> DataFrame:
 
 
 def split_manifest(manifest: DataFrame, order: str, size: int) -> DataFrame:
-    """Rows with their shard (from 1), size rows each in the given order.
+    """Rows with their shard (from 1), size rows each in the given order; nulls come last, equal keys in a fixed order.
 
     Row numbers come from range partitions and their offsets, not from one sorted task.
     """
@@ -58,20 +61,21 @@ def split_manifest(manifest: DataFrame, order: str, size: int) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: str) -> DataFrame:
-    """row_no from 1 in the order of a unique column: counts per hash range of the order, carried over.
+    """row_no from 1 in the order of a column of any type; nulls last, equal keys by a hash of the row.
 
-    The order column is cut at its approximate quantiles; ranges are numbered apart and shifted by
-    the rows before them.
+    Rows are range-partitioned, sorted within their partition and written once with their place in
+    it; the counts of earlier partitions are added. A key that holds much of the data is spread by
+    the hash, and so are nulls.
     """
-    cuts = [c for c in df.approxQuantile(order, [i / 32 for i in range(1, 32)], 0.01)] if dict(df.dtypes)[order] in ("int", "bigint", "double", "smallint") else []
-    at = F.lit(0)
-    for c in sorted(set(cuts)):
-        at = at + (F.col(order) > c).cast("int")
-    parts = df.withColumn("_part", at)
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    key = [F.col(order).asc_nulls_last(), F.xxhash64(*hashed).asc()]
+    placed = df.repartitionByRange(parallelism(df.sparkSession), *key).sortWithinPartitions(*key)
+    placed = durable(placed.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row a partition
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    numbered = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return numbered.join(F.broadcast(before), "_part").withColumn("row_no", F.col("_rn") + F.col("_off")).drop("_part", "_rn", "_off")
+    numbered = placed.join(F.broadcast(before), "_part")
+    return numbered.withColumn("row_no", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_off") + 1).drop("_part", "_at", "_off")
 
 
 def bed_pairs(lines: DataFrame, value: str = "value", ordered: bool = True) -> DataFrame:
@@ -79,7 +83,7 @@ def bed_pairs(lines: DataFrame, value: str = "value", ordered: bool = True) -> D
     f = F.split(value, "\t", -1)
     df = lines.filter((F.trim(value) != "") & ~F.col(value).startswith("#")).select(f.alias("f")).filter(F.size("f") >= 5)
     g = lambda i: F.col("f")[i]
-    df = df.select(bare_chrom(g(0)).alias("c1"), g(1).try_cast("bigint").alias("p1"), bare_chrom(g(2)).alias("c2"), g(3).try_cast("bigint").alias("p2"), g(4).alias("id"), F.array_join(F.slice("f", 6, 1_000_000), "\t").alias("rest"))
+    df = df.select(bare_chrom(g(0)).alias("c1"), g(1).try_cast("bigint").alias("p1"), bare_chrom(g(2)).alias("c2"), g(3).try_cast("bigint").alias("p2"), g(4).alias("id"), F.array_join(from_nth("f", 6), "\t").alias("rest"))
     df = df.filter("p1 is not null and p2 is not null")
     swap = (F.col("p1") > F.col("p2")) if ordered else F.lit(False)
     pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
