@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent_table(table(spark, d, "manifest_raw"))
+    return drift.typed_table(table(spark, d, "manifest_raw"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +73,27 @@ manifest AS (SELECT m.line_id, m.series, m.file_no, m.f, h.names, CASE WHEN tabb
   WHEN f[1] = '' OR NOT regexp_full_match(f[2], '[A-Za-z0-9_./-]*\\.isoform\\.gz') THEN 'invalid_value' END AS reason
   FROM man2 m JOIN head h USING (series, file_no) WHERE line_no <> 1)
 """
+# where several candidates agree in all values, flooding decides; the SQL takes it that there is one
+_DRIFT = (
+    _LINES
+    + """,
+cols AS (SELECT series, file_no, i, names[i] AS name FROM (SELECT series, file_no, names, unnest(range(3, len(names) + 1)) AS i FROM head) WHERE names[i] <> '' AND list_position(names[3:], names[i]) = i - 2),
+cells AS (SELECT series, file_no, m.f[1] AS sample, name, m.f[i] AS v FROM manifest m JOIN cols USING (series, file_no) WHERE reason IS NULL),
+full_ AS (SELECT * FROM cells WHERE v NOT IN ('', 'NA', 'NULL', '.')),
+kinds AS (SELECT series, file_no, name, bool_and(regexp_full_match(v, '[0-9]+')) AS whole, bool_and(regexp_full_match(v, '[0-9]+|[0-9]+\\.[0-9]*|\\.[0-9]+')) AS dec, bool_and(regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS day
+  FROM full_ GROUP BY ALL),
+types AS (SELECT series, file_no, name, CASE WHEN whole THEN 'integer' WHEN dec THEN 'decimal' WHEN day THEN 'date' ELSE 'text' END AS kind FROM kinds),
+steps AS (SELECT series, file_no, lag(file_no) OVER (PARTITION BY series ORDER BY file_no) AS prev_no FROM head),
+gone AS (SELECT s.series, s.file_no, prev_no, c.name FROM steps s JOIN cols c ON c.series = s.series AND c.file_no = prev_no ANTI JOIN cols d ON d.series = s.series AND d.file_no = s.file_no AND d.name = c.name),
+come AS (SELECT s.series, s.file_no, c.name FROM steps s JOIN cols c ON c.series = s.series AND c.file_no = s.file_no ANTI JOIN cols d ON d.series = s.series AND d.file_no = prev_no AND d.name = c.name WHERE prev_no IS NOT NULL),
+one AS (SELECT series, file_no, sample, name, min(v) AS v FROM full_ GROUP BY ALL),
+same AS (SELECT g.series, g.file_no, g.name AS old_name, c.name AS new_name FROM gone g JOIN come c USING (series, file_no) JOIN one a ON a.series = g.series AND a.file_no = g.prev_no AND a.name = g.name
+  JOIN one b ON b.series = g.series AND b.file_no = g.file_no AND b.name = c.name AND b.sample = a.sample GROUP BY ALL HAVING bool_and(a.v = b.v))
+SELECT series, file_no, 'renamed' AS drift, old_name, new_name FROM same
+UNION ALL SELECT series, file_no, 'removed', name, '' FROM gone g WHERE NOT EXISTS (FROM same s WHERE s.series = g.series AND s.file_no = g.file_no AND old_name = name)
+UNION ALL SELECT series, file_no, 'added', '', name FROM come g WHERE NOT EXISTS (FROM same s WHERE s.series = g.series AND s.file_no = g.file_no AND new_name = name)
+UNION ALL SELECT s.series, s.file_no, 'retyped', a.name, a.name FROM steps s JOIN types a ON a.series = s.series AND a.file_no = prev_no JOIN types b ON b.series = s.series AND b.file_no = s.file_no AND b.name = a.name WHERE a.kind <> b.kind"""
+)
 _PERIODS = f"""
 WITH spans AS (SELECT 'chrom' AS grain, {_BARE.format("chrom")} AS chrom, '' AS gene_id, gene_start AS s, gene_end AS e FROM gene
   UNION ALL SELECT 'gene', {_BARE.format("chrom")}, gene_id, x.s, x.e FROM (SELECT chrom, gene_id, unnest(exons) AS x FROM transcript WHERE gene_id <> '')),
@@ -90,6 +111,7 @@ SQL = {
     "p1_found": _LINES + "SELECT 'fusion_raw' AS src, line_id, reason FROM fusion WHERE reason IS NOT NULL UNION ALL SELECT 'manifest_raw', line_id, reason FROM manifest WHERE reason IS NOT NULL",
     "p1_valid_fusion": _LINES + "SELECT line_id, left_chr, left_pos::BIGINT AS left_pos, right_chr, right_pos::BIGINT AS right_pos, idstring, note FROM fusion WHERE reason IS NULL",
     "p1_valid_manifest": _LINES + "SELECT line_id, series, file_no, f[1] AS sample, f[2] AS path, len(f)::INT AS n_fields FROM manifest WHERE reason IS NULL",
+    "p2_found": _DRIFT,
     "p3_found": _PERIODS,
     "p5_found": _KEYED + " SELECT signature, chrom_id FROM r GROUP BY ALL HAVING count(*) * 100 >= (SELECT count(*) FROM r)",
     "p5_records": _KEYED
