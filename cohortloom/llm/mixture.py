@@ -1,20 +1,25 @@
 """Mixing sources to target weights: a min-cost flow over membership patterns.
 
-Documents are grouped by text; the set of targeted sources in which a text occurs is its
-membership pattern. Only the patterns' token sums reach the driver: at most MAX_PATTERNS rows, a
-bound that is checked. On them a flow network is solved: the root feeds the patterns, where the
-r-th use of a pattern's texts costs r (convex, so texts are repeated only where nothing else is
-left); a pattern feeds the sources in which it occurs, each of its documents at most max_repeat
-times; a source takes its quota. Quotas that max_repeat leaves open are given to the sources that
-can still take more, in proportion to their shares. Documents are then selected per (pattern,
-source) in the order of a seeded hash: whole rounds for all of them, and one more use for those up
-to the prefix sum that fills the flow, found over hash ranges so that no group meets in one task.
+Documents are grouped by text. A text's membership pattern is the set of targeted sources in which it
+occurs, with its number of copies in each. Only the patterns' token sums reach the driver: at most
+MAX_PATTERNS rows, a bound that is checked. On them a flow network is solved: the root feeds the
+patterns, where the r-th use of a pattern's texts costs r (convex, so texts are repeated only where
+nothing else is left); a pattern feeds the sources in which it occurs, each copy at most max_repeat
+times; a source takes its quota. Quotas that max_repeat leaves open are given to the sources that can
+still take more, in proportion to their shares.
+
+Texts are then selected per pattern, for all its sources at once: they lie in the order of a seeded
+hash on a circle as long as their tokens, and the sources take stretches of it one after the other, as
+long as their flows. So the uses of two texts of a pattern differ by one at most over all sources
+together, as the flow has it. Places on the circle are prefix sums over hash ranges, so that no group
+meets in one task. A source's uses of a text are dealt to its copies in turn; copies are numbered over
+hash ranges as well, so a text that a third of all documents repeat is spread.
 
 Defined cases. Sources compare without surrounding blanks, in lower case. Documents without a
 source or of a source without a target are left out. Null and empty texts have no tokens and are
-left out. A doc_id delivered twice counts once. A source without documents gets nothing. Targets
-that are null or not above 0 are ignored; max_repeat below 1 or null counts as 0. The mixture's
-size is met to within one document per (pattern, source).
+left out. A doc_id delivered twice counts once (the smallest source, text hash and size). A source
+without documents gets nothing. Targets that are null or not above 0 are ignored; max_repeat below 1
+or null counts as 0. The mixture's size is met to within one text per pattern and source.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 from ..session import durable
 from . import bpe
 
-#: Most membership patterns that the driver takes; more raise an error.
-MAX_PATTERNS = 100_000
+#: Most rows (sources of patterns) that the driver takes; more raise an error. See README for the time this takes.
+MAX_PATTERNS = 50_000
 #: Ranges of the seeded hash over which tokens are summed before a cut is searched.
 RANGES = 4096
 
@@ -38,63 +43,113 @@ def plain_name(c):
     return F.lower(F.regexp_replace(c, r"\A\s+|\s+\z", ""))
 
 
-@dataclass
-class Arc:
-    to: int
-    cap: int
-    cost: int
-    back: int
-
-
 class Network:
-    """Min-cost flow by successive shortest paths with potentials; integer capacities and costs >= 0."""
-
-    def __init__(self, n: int):
-        self.arcs: list[list[Arc]] = [[] for _ in range(n)]
+    """Min-cost flow by the primal-dual method; integer capacities and costs >= 0.
 
-    def add(self, a: int, b: int, cap: int, cost: int) -> tuple[int, int]:
-        self.arcs[a].append(Arc(b, cap, cost, len(self.arcs[b])))
-        self.arcs[b].append(Arc(a, 0, -cost, len(self.arcs[a]) - 1))
-        return a, len(self.arcs[a]) - 1
+    Each phase finds distances by reduced cost and then sends all that the shortest paths can carry
+    (blocking flows over levels), so the number of phases is that of different path costs. An arc may
+    be convex: its n-th `step` units cost n each; it holds the part that can be used next.
+    """
 
-    def flow(self, at: tuple[int, int]) -> int:
-        arc = self.arcs[at[0]][at[1]]
-        return self.arcs[arc.to][arc.back].cap
+    def __init__(self, n: int):
+        self.out: list[list[int]] = [[] for _ in range(n)]
+        self.to: list[int] = []
+        self.cap: list[int] = []
+        self.cost: list[int] = []
+        self.convex: dict[int, tuple[int, int, int]] = {}
+
+    def add(self, a: int, b: int, cap: int, cost: int) -> int:
+        """An arc; returns its number, that of its reverse being one more."""
+        for u, v, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
+            self.out[u].append(len(self.to))
+            self.to.append(v)
+            self.cap.append(c)
+            self.cost.append(w)
+        return len(self.to) - 2
+
+    def add_convex(self, a: int, b: int, step: int, times: int) -> None:
+        """The n-th step units cost n each, up to `times` steps; later steps are added when they come into reach."""
+        if times > 0 and step > 0:
+            self.convex[self.add(a, b, step, 1)] = (a, step, times)
+
+    def flow(self, arc: int) -> int:
+        return self.cap[arc + 1]
 
     def run(self, s: int, t: int) -> int:
-        n, total = len(self.arcs), 0
+        n, total = len(self.out), 0
         potential = [0] * n
+        to, cap, cost, out = self.to, self.cap, self.cost, self.out
         while True:
-            dist, via = [None] * n, [None] * n
-            dist[s], heap = 0, [(0, s)]
+            dist: list[int | None] = [None] * n
+            dist[s], heap, done = 0, [(0, s)], [False] * n
             while heap:
                 d, u = heapq.heappop(heap)
-                if d > dist[u]:
+                if done[u]:
                     continue
-                for k, arc in enumerate(self.arcs[u]):
-                    if arc.cap > 0:
-                        nd = d + arc.cost + potential[u] - potential[arc.to]
-                        if dist[arc.to] is None or nd < dist[arc.to]:
-                            dist[arc.to], via[arc.to] = nd, (u, k)
-                            heapq.heappush(heap, (nd, arc.to))
+                done[u] = True
+                for k in out[u]:
+                    if cap[k] > 0:
+                        v = to[k]
+                        nd = d + cost[k] + potential[u] - potential[v]
+                        if dist[v] is None or nd < dist[v]:
+                            dist[v] = nd
+                            heapq.heappush(heap, (nd, v))
             if dist[t] is None:
                 return total
+            far = dist[t]
             for v in range(n):
-                if dist[v] is not None:
-                    potential[v] += dist[v]
-            push, v = None, t
-            while v != s:
-                u, k = via[v]
-                push = self.arcs[u][k].cap if push is None else min(push, self.arcs[u][k].cap)
-                v = u
-            v = t
-            while v != s:
-                u, k = via[v]
-                arc = self.arcs[u][k]
-                arc.cap -= push
-                self.arcs[v][arc.back].cap += push
-                v = u
-            total += push
+                potential[v] += far if dist[v] is None else min(dist[v], far)
+            total += self._saturate(s, t, potential)
+            for k, (a, step, times) in list(self.convex.items()):
+                if cap[k] == 0:
+                    del self.convex[k]
+                    if cost[k] < times:
+                        self.convex[self.add(a, to[k], step, cost[k] + 1)] = (a, step, times)
+
+    def _saturate(self, s: int, t: int, potential: list[int]) -> int:
+        """Largest flow over arcs of reduced cost 0."""
+        to, cap, cost, out, total = self.to, self.cap, self.cost, self.out, 0
+        while True:
+            level = [-1] * len(out)
+            level[s], queue = 0, [s]
+            for u in queue:
+                for k in out[u]:
+                    v = to[k]
+                    if cap[k] > 0 and level[v] < 0 and cost[k] + potential[u] - potential[v] == 0:
+                        level[v] = level[u] + 1
+                        queue.append(v)
+            if level[t] < 0:
+                return total
+            at = [0] * len(out)
+            path: list[int] = []
+            u = s
+            while True:
+                if u == t:
+                    push = min(cap[k] for k in path)
+                    total += push
+                    for k in path:
+                        cap[k] -= push
+                        cap[k ^ 1] += push
+                    cut = next(i for i, k in enumerate(path) if cap[k] == 0)
+                    u = to[path[cut] ^ 1]
+                    del path[cut:]
+                    continue
+                arcs = out[u]
+                while at[u] < len(arcs):
+                    k = arcs[at[u]]
+                    v = to[k]
+                    if cap[k] > 0 and level[v] == level[u] + 1 and cost[k] + potential[u] - potential[v] == 0:
+                        break
+                    at[u] += 1
+                if at[u] < len(arcs):
+                    path.append(k)
+                    u = v
+                elif not path:
+                    break
+                else:
+                    k = path.pop()
+                    u = to[k ^ 1]
+                    at[u] += 1
 
 
 def quotas(total: int, share: dict[str, float], most: dict[str, int]) -> dict[str, int]:
@@ -127,9 +182,7 @@ def route(patterns: list[tuple[str, tuple[str, ...], int, dict[str, int]]], quot
     arcs = {}
     for i, (key, sources, tokens, by) in enumerate(patterns):
         node = 2 + i
-        uses = sum(-(-by[s] * repeat[s] // max(tokens, 1)) for s in sources if s in at)
-        for r in range(1, uses + 1):
-            net.add(root, node, tokens, r)
+        net.add_convex(root, node, tokens, sum(-(-by[s] * repeat[s] // max(tokens, 1)) for s in sources if s in at))
         for s in sources:
             if s in at and by[s] * repeat[s] > 0:
                 arcs[key, s] = net.add(node, at[s], by[s] * repeat[s], 0)
@@ -140,12 +193,13 @@ def route(patterns: list[tuple[str, tuple[str, ...], int, dict[str, int]]], quot
 
 
 def _sized(documents: DataFrame, targets: DataFrame, path: str) -> DataFrame:
-    """doc_id, source, text_key, n_tokens of the documents of targeted sources, written once."""
+    """doc_id, source, text_key, n_tokens of the documents of targeted sources, each doc_id once, written once."""
     names = [r["source"] for r in targets.collect()]
     docs = documents.withColumn("source", plain_name(F.col("source"))).filter(F.col("source").isin(names) & (F.length("text") > 0))
     docs = docs.select("doc_id", "source", F.md5("text").alias("text_key"), "text")
     df = bpe.count_tokens(docs, ["doc_id", "source", "text_key"], path)
-    return durable(df.dropDuplicates(["doc_id"]))
+    one = df.groupBy("doc_id").agg(F.min(F.struct("source", "text_key", "n_tokens")).alias("d"))
+    return durable(one.select("doc_id", "d.*"))
 
 
 def _targets(mix_target: DataFrame) -> DataFrame:
@@ -154,61 +208,96 @@ def _targets(mix_target: DataFrame) -> DataFrame:
     return t.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat"))
 
 
-def _plan(documents: DataFrame, mix_target: DataFrame, path: str):
-    """Documents with their pattern, the flow per (pattern, source), and target, quota and share of each source."""
+@dataclass
+class Plan:
+    """A mixture before it is selected: documents, texts with their pattern, flows, and what each source should get."""
+
+    docs: DataFrame
+    texts: DataFrame
+    flows: dict[tuple[str, str], int]
+    goal: dict[str, tuple[float, int]]
+
+
+def plan(documents: DataFrame, mix_target: DataFrame, path: str = f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}") -> Plan:
+    """Tokenizes the documents once and routes tokens of patterns to sources."""
     targets = _targets(mix_target)
     goal = {r["source"]: (r["target_share"], r["max_repeat"]) for r in targets.collect()}
     scale = sum(share for share, _ in goal.values()) or 1.0
     docs = _sized(documents, targets, path)
-    texts = docs.groupBy("text_key").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("pattern"), F.max("n_tokens").alias("text_tokens"), F.count("*").alias("copies"))
-    shared = texts.filter(F.col("copies") > 1).select("text_key", F.col("pattern").alias("many"))
-    docs = docs.join(shared, "text_key", "left").withColumn("pattern", F.coalesce("many", "source")).drop("many")
-    distinct = texts.groupBy("pattern").agg(F.sum("text_tokens").alias("tokens"))
-    by = docs.groupBy("pattern", "source").agg(F.sum("n_tokens").alias("tokens"))
-    sums = by.select("pattern", "source", "tokens").unionByName(distinct.select("pattern", F.lit(None).cast("string").alias("source"), "tokens"))
+    # two steps: a text that many documents repeat is reduced to one row a source before its sources meet
+    copies = docs.groupBy("text_key", "source").agg(F.count("*").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.min("doc_id").alias("doc_id"))
+    texts = copies.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("source", "copies", "doc_id"))).alias("members"), F.max("n_tokens").alias("n_tokens"))
+    pattern = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["source"], m["copies"])), ",")
+    texts = durable(texts.withColumn("pattern", pattern))
+    sums = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.first(F.transform("members", lambda m: F.struct(m["source"], m["copies"]))).alias("members"))
     rows = sums.limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    got: dict[str, dict] = {}
-    for r in rows:
-        got.setdefault(r["pattern"], {})[r["source"]] = r["tokens"]
-    patterns = [(p, tuple(sorted(s for s in v if s is not None)), v[None], {s: n for s, n in v.items() if s is not None}) for p, v in sorted(got.items())]
-    total = sum(n for _, _, _, b in patterns for n in b.values())
-    most = {s: sum(b.get(s, 0) for _, _, _, b in patterns) * goal[s][1] for s in goal}
-    quota = quotas(total, {s: share / scale for s, (share, _) in goal.items()}, most)
+    if len(rows) > MAX_PATTERNS or sum(len(r["members"]) for r in rows) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sources of membership patterns")
+    patterns = [(r["pattern"], tuple(m["source"] for m in r["members"]), r["tokens"], {m["source"]: m["copies"] * r["tokens"] for m in r["members"]}) for r in sorted(rows, key=lambda r: r["pattern"])]
+    by_source = {s: sum(b.get(s, 0) for _, _, _, b in patterns) for s in goal}
+    quota = quotas(sum(by_source.values()), {s: share / scale for s, (share, _) in goal.items()}, {s: n * goal[s][1] for s, n in by_source.items()})
     flows = route(patterns, quota, {s: n for s, (_, n) in goal.items()})
-    sizes = {(p, s): n for p, _, _, b in patterns for s, n in b.items()}
-    return docs, flows, sizes, {s: (goal[s][0], quota[s]) for s in goal}, total
-
-
-def _selected(docs: DataFrame, flows: dict, sizes: dict, seed: int) -> DataFrame:
-    """doc_id, source, n_tokens, copies of each document that the mixture uses."""
-    spark = docs.sparkSession
-    plan = [(p, s, f // max(1, sizes[p, s]), f % max(1, sizes[p, s])) for (p, s), f in sorted(flows.items())]
-    plan = spark.createDataFrame(plan, "pattern string, source string, rounds bigint, rest bigint")
-    h = F.xxhash64("doc_id", F.lit(seed))
-    df = docs.join(F.broadcast(plan), ["pattern", "source"]).withColumn("order_key", h).withColumn("part", F.pmod(h, F.lit(RANGES)).cast("int"))
-    sums = df.groupBy("pattern", "source", "part").agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.partitionBy("pattern", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("pattern", "source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carry"))
-    within = Window.partitionBy("pattern", "source", "part").orderBy("order_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.join(sums, ["pattern", "source", "part"]).withColumn("before", F.col("carry") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    # one more use while the middle of the document lies within what is left of the flow
-    more = (F.col("before") * 2 + F.col("n_tokens") <= F.col("rest") * 2).cast("bigint")
-    return df.withColumn("copies", F.col("rounds") + more).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+    return Plan(docs, texts, flows, {s: (goal[s][0], quota[s]) for s in goal})
+
+
+def text_uses(p: Plan, seed: int) -> DataFrame:
+    """text_key, source, copies, doc_id (the smallest), n_tokens and uses (above 0) of each text by each source."""
+    spark = p.docs.sparkSession
+    begin: dict[str, int] = {}
+    stretches = []
+    for (pattern, source), f in sorted(p.flows.items()):
+        stretches.append((pattern, source, begin.get(pattern, 0), f))
+        begin[pattern] = begin.get(pattern, 0) + f
+    plan_rows = spark.createDataFrame(stretches, "pattern string, source string, begin bigint, flow bigint")
+    h = F.xxhash64("text_key", F.lit(seed))
+    df = p.texts.withColumn("order_key", h).withColumn("part", F.pmod(F.shiftright(h, 20), F.lit(RANGES)).cast("int"))
+    sums = df.groupBy("pattern", "part").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # at most RANGES rows a pattern
+    carry = sums.withColumn("carry", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("around", F.sum("n").over(Window.partitionBy("pattern"))).drop("n")
+    within = Window.partitionBy("pattern", "part").orderBy("order_key", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.join(carry, ["pattern", "part"]).withColumn("twice_middle", (F.col("carry") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))) * 2 + F.col("n_tokens"))
+    df = df.select("text_key", "pattern", "n_tokens", "around", "twice_middle", F.explode("members").alias("m"))
+    df = df.select("text_key", "pattern", "n_tokens", "around", "twice_middle", "m.*").join(F.broadcast(plan_rows), ["pattern", "source"])
+    # how often the middle of the text comes by before a place x on the circle, in whole numbers
+    passed = lambda x: F.expr(f"(2 * ({x}) - twice_middle + 2 * around - 1) div (2 * around)")
+    uses = passed("begin + flow") - passed("begin")
+    return df.select("text_key", "source", "copies", "doc_id", "n_tokens", uses.cast("bigint").alias("uses")).filter("uses > 0")
+
+
+def selected(p: Plan, seed: int = 7) -> DataFrame:
+    """doc_id, source, n_tokens, copies: how many times the mixture uses each document."""
+    uses = durable(text_uses(p, seed))
+    single = uses.filter("copies = 1").select("doc_id", "source", "n_tokens", F.col("uses").alias("copies"))
+    many = uses.filter("copies > 1").select("text_key", "source", "n_tokens", "uses", F.col("copies").alias("of"))
+    docs = p.docs.select("doc_id", "source", "text_key", F.pmod(F.xxhash64("doc_id"), F.lit(RANGES)).cast("int").alias("part"))
+    counts = docs.groupBy("text_key", "source", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("text_key", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # at most RANGES rows a text: a repeated text is spread over as many keys
+    plans = counts.join(many, ["text_key", "source"]).withColumn("carry", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    within = Window.partitionBy("text_key", "source", "part").orderBy("doc_id")
+    numbered = docs.join(plans, ["text_key", "source", "part"]).withColumn("no", F.col("carry") + F.row_number().over(within) - 1)
+    dealt = F.floor(F.col("uses") / F.col("of")) + (F.col("no") < F.col("uses") % F.col("of")).cast("bigint")
+    shared = numbered.select("doc_id", "source", "n_tokens", dealt.alias("copies")).filter("copies > 0")
+    return single.unionByName(shared)
+
+
+def report(p: Plan, mixture: DataFrame) -> DataFrame:
+    """source, target_share, quota_tokens, actual_tokens, actual_share, n_documents, max_copies of each targeted source; shares are of the mixture's own size."""
+    used = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("max_copies"))
+    goals = mixture.sparkSession.createDataFrame([(s, float(a), int(q)) for s, (a, q) in sorted(p.goal.items())], "source string, target_share double, quota_tokens bigint")
+    df = goals.join(used, "source", "left").fillna(0, ["actual_tokens", "n_documents", "max_copies"])
+    # one row a source
+    size = F.sum("actual_tokens").over(Window.partitionBy())
+    return df.withColumn("actual_share", F.when(size > 0, F.round(F.col("actual_tokens") / size, 6)).otherwise(0.0))
 
 
 def mix(documents: DataFrame, mix_target: DataFrame, seed: int = 7, path: str = f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}") -> DataFrame:
     """The mixture: doc_id, source, n_tokens, copies (how many times the document is used)."""
-    docs, flows, sizes, _, _ = _plan(documents, mix_target, path)
-    return _selected(docs, flows, sizes, seed)
+    return selected(plan(documents, mix_target, path), seed)
 
 
 def mix_report(documents: DataFrame, mix_target: DataFrame, seed: int = 7, path: str = f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}") -> DataFrame:
-    """source, target_share, quota_tokens, actual_tokens, actual_share, n_documents, max_copies of each targeted source."""
-    docs, flows, sizes, goal, total = _plan(documents, mix_target, path)
-    used = _selected(docs, flows, sizes, seed).groupBy("source")
-    used = used.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("max_copies"))
-    goals = docs.sparkSession.createDataFrame([(s, float(a), int(q)) for s, (a, q) in sorted(goal.items())], "source string, target_share double, quota_tokens bigint")
-    df = goals.join(used, "source", "left").fillna(0, ["actual_tokens", "n_documents", "max_copies"])
-    return df.withColumn("actual_share", F.when(F.lit(total) > 0, F.round(F.col("actual_tokens") / F.lit(max(total, 1)), 6)).otherwise(0.0))
+    """The report on a mixture; use plan, selected and report to get both from one tokenization."""
+    p = plan(documents, mix_target, path)
+    return report(p, selected(p, seed))

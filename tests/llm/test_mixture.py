@@ -69,3 +69,53 @@ def test_empty(spark, docs):
     assert mixture.mix(docs.limit(0), target).collect() == []
     assert mixture.mix(docs, target.limit(0)).collect() == []
     assert mixture.mix_report(docs.limit(0), target).collect()[0]["actual_share"] == 0.0
+
+
+def test_texts_shared_by_two_sources_are_used_alike(spark):
+    rows = [(i + 1000 * k, f"text number {i} of the two", s) for k, s in enumerate("ab") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    target = spark.createDataFrame([("a", 0.25, 3), ("b", 0.25, 3), ("c", 0.5, 1)], "source string, target_share double, max_repeat int")
+    used = {}
+    for r in mixture.mix(df, target).collect():
+        used[r["doc_id"] % 1000] = used.get(r["doc_id"] % 1000, 0) + r["copies"]
+    assert set(used.values()) == {2} and len(used) == 400
+    report = {r["source"]: r["actual_share"] for r in mixture.mix_report(df, target).collect()}
+    assert abs(sum(report.values()) - 1) < 1e-5 and report["c"] == 0 and abs(report["a"] - 0.5) < 0.01
+
+
+def test_copies_of_a_hot_text_share_its_uses(spark):
+    rows = [(i, "the same text again", "a") for i in range(500)] + [(1000 + i, f"another text {i}", "b") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    target = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 1)], "source string, target_share double, max_repeat int")
+    got = [r["copies"] for r in mixture.mix(df, target).collect() if r["source"] == "a"]
+    assert max(got) <= 3 and max(got) - min(got) <= 1 and len(got) == 500
+
+
+def test_shares_are_of_what_is_used(spark):
+    df = spark.createDataFrame([(i, f"text {i}", "a" if i < 10 else "b") for i in range(40)], "doc_id bigint, text string, source string")
+    target = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 0)], "source string, target_share double, max_repeat int")
+    got = {r["source"]: r["actual_share"] for r in mixture.mix_report(df, target).collect()}
+    assert got == {"a": 1.0, "b": 0.0}
+
+
+def test_flow_of_many_patterns_ends_soon():
+    import random
+    import time
+
+    rng, names = random.Random(5), [f"s{i}" for i in range(200)]
+    patterns = []
+    for i in range(4000):
+        ss = tuple(sorted(rng.sample(names, rng.randint(1, 3))))
+        n = rng.randint(1, 10**6)
+        patterns.append((str(i), ss, n, {s: n * rng.randint(1, 2) for s in ss}))
+    most = {s: sum(b.get(s, 0) for _, _, _, b in patterns) * 4 for s in names}
+    share = {s: rng.random() for s in names}
+    scale, total = sum(share.values()), sum(sum(b.values()) for _, _, _, b in patterns)
+    quota = mixture.quotas(total, {s: v / scale for s, v in share.items()}, most)
+    began = time.time()
+    got = mixture.route(patterns, quota, dict.fromkeys(names, 4))
+    assert time.time() - began < 60
+    filled = dict.fromkeys(names, 0)
+    for (_, s), f in got.items():
+        filled[s] += f
+    assert filled == quota
