@@ -5,20 +5,24 @@
    documents over the whole corpus.
 2. Twins. Units are joined with their clean near-twin, the most frequent unit with the same text
    once non-ASCII characters are stripped. Each skeleton has one such twin, so no pairs multiply.
-3. Learning. The runs of non-ASCII characters of a unit and its twin are aligned between their ASCII
-   characters; a transformation (written in S, decoded as D) is learned if it maps aligned clean
-   runs to garbled ones. Where the stripped text is empty (other scripts), the restored unit takes
-   the part of the skeleton: its twin is the same unit elsewhere in the corpus.
-4. Application. Learned transformations are undone on all units, repeatedly if need be. A restored
-   form counts if it is much more frequent in the corpus than the garbled one, or if its characters
-   follow each other in a much more usual way (counts of character pairs over the whole corpus).
+3. Learning by alignment. The runs of non-ASCII characters of a unit and its twin are aligned between
+   their ASCII characters and cut into characters; a mapping from a garbled sequence to a character is
+   learned if several units show it and the sequence is not at home in clean twins. Nothing but the
+   corpus goes into these mappings.
+4. Fallback by catalogue. What no mapping covers is tried with pairs of known encodings (written in S,
+   decoded as D), but only those that explain aligned runs, or, where the stripped text is empty
+   (other scripts), whose result is itself a frequent unit of the corpus.
+5. Application. Mappings and pairs are applied to all units. A restored form counts if it is much more
+   frequent in the corpus than the garbled one, or if its characters follow each other in a much more
+   usual way (counts of character pairs over the whole corpus; a unit is no evidence for itself).
    One symbol for another is weak evidence, as most symbols are some other's image: it counts only
-   if the same words stand beside the restored one. U+FFFD and control
-   characters that no text has mark what cannot be had back.
+   if the same words stand beside the restored one. U+FFFD and control characters that no text has
+   mark what cannot be had back. `decoded` tells the branch: aligned, an encoding, or '' for marks.
 
 Defined cases. Null, empty and pure ASCII texts are not affected. Of repeated rows (same doc_id)
-each distinct text is looked at, and the doc_id is listed once. Ties between transformations go to
-the more usual result, then to the first in alphabetical order. Texts are looked at whole.
+each distinct text is looked at, and the doc_id is listed once. Ties go to the mapping learned by
+alignment, then to the more usual result, then to the first in alphabetical order. Texts and units
+are looked at whole, however long.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, durable, parallelism
+from ..session import bounded_broadcast, durable, parallelism
 
 #: Names of encodings in which text may have been written, and as which it may have been decoded.
 WRITTEN = ["utf_8", "cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic", "cp932", "euc_jp", "gb18030", "big5", "cp949"]
@@ -43,6 +49,10 @@ WIDE = ["gbk", "cp932", "big5", "cp949", "euc_jp"]
 #: A unit with the ASCII words beside it, and its core. It starts where a word does, so each word is scanned once.
 UNIT = r"(?<![0-9A-Za-z])[0-9A-Za-z]*+ ?+[^\x00-\x7F][0-9A-Za-z[^\x00-\x7F]]*+(?: [0-9A-Za-z]++(?![^\x00-\x7F]))?+"
 CORE = r"[0-9A-Za-z]*+[^\x00-\x7F][0-9A-Za-z[^\x00-\x7F]]*+"
+#: A core that says enough without the words beside it.
+STRONG = r"[A-Za-z].*[A-Za-z]|[^\x00-\x7F]{3}"
+#: The sign for what could not be decoded.
+LOST_SIGN = r"\x{FFFD}"
 #: Characters that only a wrong decoder leaves: U+FFFD and C1 controls (but for U+0085, a line end).
 LOST = r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]"
 #: A twin or restored form must be in so many times the documents of the garbled one.
@@ -53,11 +63,18 @@ MUCH_ALONE = 50
 GAIN = 2.0
 #: Distinct aligned pairs (or restored units with a twin) from which a transformation counts as learned.
 SUPPORT = 2
-#: Times that a text may have been garbled.
-DEPTH = 3
 #: Characters whose pairs are counted: alphabets below U+0530, and punctuation, symbols and box drawing. Of other
-#: scripts single characters are, so counts have at most 4400^2 + 2^21 keys however large the corpus is.
-PAIRED = [(0, 0x530), (0x2000, 0x2C00)]
+#: scripts single characters are, so counts have at most 4400^2 + 0x110000 keys however large the corpus is.
+LOW, SYMBOLS = 0x530, (0x2000, 0x2C00)
+WIDTH = LOW + SYMBOLS[1] - SYMBOLS[0]
+#: Counts are held in blocks of so many keys; blocks without a count are left out.
+BLOCK = 512
+#: Share of the evidence on a garbled sequence that its mapping must have.
+PURITY = 0.5
+#: Longest sequence that is looked for in clean twins; a longer one is garbled beyond doubt.
+GRAM = 6
+#: Most mappings that the driver takes; more raise an error.
+MAX_MAPS = 200_000
 
 
 @lru_cache(maxsize=None)
@@ -141,25 +158,75 @@ def aligned(garbled: str, clean: str) -> list[tuple[str, str]]:
     return [(x[i], y[i]) for i in x if x[i] != y[i]] if a == b and x.keys() == y.keys() else []
 
 
-def _paired(c: str) -> bool:
-    return c < "\u0530" or "\u2000" <= c < "\u2c00"
+class Places(dict):
+    """Number of each paired character; for others, their code point made negative."""
 
+    def __missing__(self, c: str) -> int:
+        n = ord(c)
+        at = self[c] = n if n < LOW else n - SYMBOLS[0] + LOW if SYMBOLS[0] <= n < SYMBOLS[1] else -n
+        return at
 
-def features(text: str) -> list[str]:
-    """Pairs with a non-ASCII character, and single characters of the scripts that are not PAIRED."""
-    out = []
-    for a, b in zip(" " + text, text + " "):
-        if not _paired(b):
-            out.append(b)
-        elif (a > "\x7f" or b > "\x7f") and _paired(a):
-            out.append(a + b)
+
+PLACES = Places()
+
+
+def features(text: str) -> list[int]:
+    """Keys of the pairs with a non-ASCII character, and of single characters of the scripts that are not paired."""
+    out, a = [], 32
+    for b in map(PLACES.__getitem__, text + " "):
+        if b < 0:
+            out.append(WIDTH * WIDTH - b)
+        elif a >= 0 and (a > 127 or b > 127):
+            out.append(a * WIDTH + b)
+        a = b
     return out
 
 
-def usual(text: str, counts: dict[str, int]) -> float:
-    """Mean log count of the features."""
-    f = features(text)
-    return sum(math.log(counts.get(x, 0) + 0.5) for x in f) / len(f) if f else 0.0
+class Usage:
+    """Documents by feature: at most 4400^2 + 0x110000 counts, in blocks."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.blocks: dict[int, np.ndarray] = {}
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        blocks, first = np.unique(keys // BLOCK, return_index=True)
+        for b, i, j in zip(blocks.tolist(), first, np.r_[first[1:], len(keys)]):
+            block = self.blocks[b] = np.zeros(BLOCK, dtype=np.float32)
+            block[keys[i:j] % BLOCK] = counts[i:j]
+        single = keys >= WIDTH * WIDTH
+        paired = keys[~single]
+        places = np.unique(np.r_[paired // WIDTH, paired % WIDTH]).tolist()
+        self.known = {chr(p if p < LOW else p - LOW + SYMBOLS[0]) for p in places} | {chr(c) for c in (keys[single] - WIDTH * WIDTH).tolist()}
+        self.start()
+
+    def start(self) -> None:
+        self.all, self.others = Logs(self.blocks, 0), Logs(self.blocks, 1)
+
+    def usual(self, text: str, own: bool = False) -> float:
+        """Mean log count of the features; own: of a unit of the corpus, without the document that it is from."""
+        f = features(text)
+        return sum(map((self.others if own else self.all).__getitem__, f)) / len(f) if f else 0.0
+
+    def __getstate__(self) -> tuple:
+        return self.blocks, self.known
+
+    def __setstate__(self, state: tuple) -> None:
+        self.blocks, self.known = state
+        self.start()
+
+
+class Logs(dict):
+    """Log counts by feature, less some documents; an unseen feature counts as half a document."""
+
+    def __init__(self, blocks: dict[int, np.ndarray], less: int):
+        super().__init__()
+        self.blocks, self.less = blocks, less
+
+    def __missing__(self, key: int) -> float:
+        block = self.blocks.get(key // BLOCK)
+        n = 0.0 if block is None else float(block[key % BLOCK])
+        got = self[key] = math.log(max(n - self.less, 0.0) + 0.5)
+        return got
 
 
 def doc_units(documents: DataFrame) -> DataFrame:
@@ -172,7 +239,7 @@ def doc_units(documents: DataFrame) -> DataFrame:
 def normal(found: Column) -> Column:
     """The unit: its core if that has letters enough, else the core with the words beside it; digits made 0."""
     core = F.regexp_extract(found, CORE, 0)
-    strong = core.rlike(r"[A-Za-z].*[A-Za-z]|[^\x00-\x7F]{3}")
+    strong = core.rlike(STRONG)
     return F.regexp_replace(F.when(strong, F.regexp_replace(core, r"^[0-9]++|[0-9]++$", "")).otherwise(found), r"[0-9]++", "0")
 
 
@@ -183,19 +250,19 @@ def corpus_units(by_doc: DataFrame) -> DataFrame:
     return durable(df.repartition(2 * parallelism(df.sparkSession), "unit"))
 
 
-def pair_counts(units: DataFrame) -> dict[str, int]:
-    """Documents by feature, over all units. The driver takes them: PAIRS_BELOW bounds their number, not the corpus."""
+def pair_counts(units: DataFrame) -> Usage:
+    """Documents by feature, over all units; the driver takes at most 20.5 million counts of 12 bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out: dict[str, int] = {}
+            out: dict[int, int] = {}
             for u, n in zip(df["unit"], df["n"]):
                 for f in set(features(u)):
                     out[f] = out.get(f, 0) + n
             yield pd.DataFrame({"f": list(out.keys()), "n": list(out.values())})
 
-    got = units.mapInPandas(run, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
-    return dict(zip(got["f"], got["n"]))
+    got = units.mapInPandas(run, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    return Usage(got["f"].to_numpy(), got["n"].to_numpy())
 
 
 def twins(units: DataFrame) -> DataFrame:
@@ -207,6 +274,70 @@ def twins(units: DataFrame) -> DataFrame:
     return df.select("unit", "n", F.col("t.unit").alias("twin"))
 
 
+def cut(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """An aligned run as mappings to single characters, where its length allows; else as one mapping."""
+    k, rest = divmod(len(garbled), len(clean))
+    if rest or not k:
+        return [(garbled, clean)]
+    return [(g, c) for i, c in enumerate(clean) if (g := garbled[i * k : (i + 1) * k]) != c]
+
+
+def _mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mappings that the alignment of each unit with its twin shows, with the number of such units."""
+    for df in batches:
+        out: dict[tuple[str, str], int] = {}
+        for u, t in zip(df["unit"], df["twin"]):
+            for pair in {p for g, c in aligned(u, t) for p in cut(g, c)}:
+                out[pair] = out.get(pair, 0) + 1
+        yield pd.DataFrame([(g, c, n) for (g, c), n in out.items()], columns=["garbled", "clean", "n"])
+
+
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sequences within the non-ASCII runs of clean twins, with the number of twins that hold them."""
+    for df in batches:
+        out: dict[str, int] = {}
+        for t in df["twin"]:
+            for g in {r[i:j] for r in runs(t)[1].values() for i in range(len(r)) for j in range(i + 1, min(len(r), i + GRAM) + 1)}:
+                out[g] = out.get(g, 0) + 1
+        yield pd.DataFrame({"garbled": list(out.keys()), "at_home": list(out.values())})
+
+
+def learn_maps(pairs: DataFrame) -> dict[str, str]:
+    """Clean text by garbled sequence, from units and their twins.
+
+    A mapping needs SUPPORT units and PURITY of all evidence on its sequence, to which the clean twins
+    that hold the sequence count. Mappings are few, as sequences are those of characters.
+    """
+    shown = pairs.mapInPandas(_mapped, "garbled string, clean string, n bigint").groupBy("garbled", "clean").agg(F.sum("n").alias("n"))
+    shown = durable(shown.filter(~F.col("garbled").rlike(LOST_SIGN)))
+    home = pairs.select("twin").distinct().mapInPandas(_grams, "garbled string, at_home bigint").groupBy("garbled").agg(F.sum("at_home").alias("at_home"))
+    best = shown.groupBy("garbled").agg(F.max_by("clean", F.struct("n", "clean")).alias("clean"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    best = best.filter(F.col("n") >= SUPPORT).join(home, "garbled", "left")
+    rows = best.filter(F.col("n") >= PURITY * (F.col("all") + F.coalesce("at_home", F.lit(0)))).select("garbled", "clean").limit(MAX_MAPS + 1).collect()
+    if len(rows) > MAX_MAPS:
+        raise ValueError(f"more than {MAX_MAPS} mappings")
+    return {r["garbled"]: r["clean"] for r in rows}
+
+
+def mapped_form(unit: str, maps: dict[str, str], longest: int) -> str:
+    """The unit with its garbled sequences replaced, longest first from the left."""
+    out, i = [], 0
+    while i < len(unit):
+        if unit[i] >= "\x80":
+            for j in range(min(len(unit), i + longest), i, -1):
+                if (c := maps.get(unit[i:j])) is not None:
+                    out.append(c)
+                    i = j
+                    break
+            else:
+                out.append(unit[i])
+                i += 1
+        else:
+            out.append(unit[i])
+            i += 1
+    return "".join(out)
+
+
 def _explains(garbled: str, clean: str) -> list[tuple[str, str]]:
     return [(d, w) for d in [*DECODED, *WIDE] for parts in [raw_bytes(garbled, d)] for w in WRITTEN if d != w and undo(parts, w) == clean]
 
@@ -218,10 +349,14 @@ def _aligned_support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(sorted(out), columns=["decoded", "written", "case"])
 
 
-def restored_forms(unit: str, by_decoded: dict[str, list[str]], known: set[str], depth: int) -> list[tuple[str, str, str]]:
-    """(restored, decoded, written) of a unit, through up to `depth` rounds; only UTF-8 stacks, so further rounds are of UTF-8."""
-    out, seen, front = [], {unit}, [unit]
-    for again in range(depth):
+def restored_forms(unit: str, by_decoded: dict[str, list[str]], known: set[str], again: bool) -> list[tuple[str, str, str]]:
+    """(restored, decoded, written) of a unit.
+
+    Again: what was UTF-8 may have been garbled before; each such round makes the text shorter, so
+    they end by themselves. Other encodings are tried in the first round only.
+    """
+    out, seen, front, first = [], {unit}, [unit], True
+    while front:
         new = []
         for text in front:
             marks, tried = {c for c in text if c >= "\x80"}, set()
@@ -230,10 +365,10 @@ def restored_forms(unit: str, by_decoded: dict[str, list[str]], known: set[str],
                     continue
                 parts = raw_bytes(text, d)
                 key = tuple(parts)
-                if len(parts) > 8 or not any(isinstance(p, bytes) and not p.isascii() for p in parts):
+                if not any(isinstance(p, bytes) and not p.isascii() for p in parts):
                     continue
                 for w in written:
-                    if again and w != "utf_8" or (key, w) in tried:
+                    if not first and w != "utf_8" or (key, w) in tried:
                         continue
                     tried.add((key, w))
                     v = undo(parts, w)
@@ -242,40 +377,49 @@ def restored_forms(unit: str, by_decoded: dict[str, list[str]], known: set[str],
                     if v is None or v in seen:
                         continue
                     seen.add(v)
-                    if w == "utf_8" and not v.isascii():
+                    if again and w == "utf_8" and not v.isascii():
                         new.append(v)
-                    if known.issuperset(c for c in v if c >= "\x80" and c != "\ufffd"):
+                    if known.issuperset(c for c in v if c >= "\xa0" and c != "\ufffd") and not any("\x80" <= c < "\xa0" for c in v):
                         out.append((v, d, w))
-        front = new
+        front, first = new, False
     return out
 
 
-def candidates(units: DataFrame, counts: dict[str, int], allowed: list[tuple[str, str]], depth: int) -> DataFrame:
-    """unit, n, decoded, written, restored, gain: what transformations make of each unit, where it reads no worse."""
-    shared = units.sparkSession.sparkContext.broadcast(counts)
+def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[str, str]], maps: dict[str, str], again: bool) -> DataFrame:
+    """unit, n, decoded, written, restored, gain: what mappings and transformations make of each unit, where it reads no worse."""
+    shared = counts if isinstance(counts, Broadcast) else units.sparkSession.sparkContext.broadcast(counts)
     by: dict[str, list[str]] = {}
     for d, w in allowed:
         by.setdefault(d, []).append(w)
+    longest = max(map(len, maps), default=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shared.value
-        known = {c for f in counts for c in f if c >= "\xa0"}
+        use = shared.value
+        known = {c for c in use.known if c >= "\xa0"}
         for df in batches:
             out = []
             for u, n in zip(df["unit"], df["n"]):
-                if forms := restored_forms(u, by, known, depth):
-                    base = usual(u, counts)
-                    out += [(u, n, d, w, v, g) for v, d, w in forms if (g := usual(v.replace("\ufffd", ""), counts) - base) > 0]
+                base = None
+                if maps:
+                    v = mapped_form(u, maps, longest)
+                    if v != u:
+                        base = use.usual(u, True)
+                        if (g := use.usual(v) - base) > 0:
+                            out.append((u, n, "aligned", "", v, g))
+                if forms := restored_forms(u, by, known, again):
+                    base = use.usual(u, True) if base is None else base
+                    out += [(u, n, d, w, v, g) for v, d, w in forms if (g := use.usual(v.replace("\ufffd", "")) - base) > 0]
             yield pd.DataFrame(out, columns=["unit", "n", "decoded", "written", "restored", "gain"])
 
     return units.mapInPandas(run, "unit string, n bigint, decoded string, written string, restored string, gain double")
 
 
-def learn(units: DataFrame, counts: dict[str, int]) -> list[tuple[str, str]]:
-    """Transformations with SUPPORT, by aligned twins or, for units without ASCII letters, by restored twins."""
-    by_twin = twins(units).select("unit", "twin").mapInPandas(_aligned_support, "decoded string, written string, case string")
+def learn(units: DataFrame, counts: Usage | Broadcast, pairs: DataFrame | None = None) -> list[tuple[str, str]]:
+    """Transformations with SUPPORT, by aligned twins or, for units without ASCII letters, by restored twins; at most 368."""
+    pairs = twins(units).select("unit", "twin") if pairs is None else pairs
+    by_twin = pairs.mapInPandas(_aligned_support, "decoded string, written string, case string")
     other = units.filter(~F.col("unit").rlike("[A-Za-z].*[A-Za-z]"))
-    tried = candidates(other, counts, transformations(), 1).filter(F.col("gain") >= GAIN / 2)
+    tried = candidates(other, counts, transformations(), {}, False).filter(F.col("gain") >= GAIN / 2)
     known = units.select(F.col("unit").alias("restored"), F.col("n").alias("n_restored"))
     by_form = tried.join(known, "restored").filter(F.col("n_restored") > F.col("n")).select("decoded", "written", F.col("unit").alias("case"))
     both = by_twin.unionByName(by_form).groupBy("decoded", "written").agg(F.countDistinct("case").alias("n")).filter(F.col("n") >= SUPPORT)
@@ -291,38 +435,51 @@ def _dropped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def garbled_units(by_doc: DataFrame) -> DataFrame:
-    """unit, restored (null if it cannot be had back), decoded, written and sure of each garbled unit; written once."""
+    """unit, n, restored (null if it cannot be had back), decoded, written and sure of each garbled unit; written once."""
     units = corpus_units(by_doc)
-    counts = pair_counts(units)
-    tried = candidates(units, counts, learn(units, counts), DEPTH)
+    pairs = durable(twins(units).select("unit", "twin").repartition(2 * parallelism(units.sparkSession), "unit"))
+    counts = units.sparkSession.sparkContext.broadcast(pair_counts(units))
+    tried = candidates(units, counts, learn(units, counts, pairs), learn_maps(pairs), True)
     known = units.select(F.col("unit").alias("restored"), F.col("n").alias("n_restored"))
     judged = tried.join(known, "restored", "left").withColumn("n_restored", F.coalesce("n_restored", F.lit(0)))
     marks = lambda c: F.length(F.regexp_replace(c, r"[\x00-\x7F]++", ""))
-    wordy = F.regexp_extract("unit", CORE, 0).rlike(r"[A-Za-z].*[A-Za-z]|[^\x00-\x7F]{3}")
+    wordy = F.regexp_extract("unit", CORE, 0).rlike(STRONG)
     strong = wordy | (marks("restored") < marks("unit"))
     much = F.col("n_restored") >= MUCH * F.col("n")
     between = F.col("unit").rlike(r"[A-Za-z] .* [A-Za-z]")
     beside = F.col("unit").rlike(r"^[A-Za-z0-9]++ ?+[^\x00-\x7F]|[^\x00-\x7F] ?+[A-Za-z0-9]++$")
     weak = (between & much) | (beside & (F.col("n_restored") >= MUCH_ALONE * F.col("n")))
     ok = judged.filter(F.when(strong, (F.col("gain") >= GAIN / 2) & (much | (F.col("gain") >= GAIN))).otherwise(weak))
-    order = F.struct(much.alias("m"), "n_restored", "gain", "restored", "decoded", "written")
+    order = F.struct(much.alias("m"), "n_restored", "gain", "restored", (F.col("decoded") == "aligned").alias("a"), "decoded", "written")
     best = ok.withColumn("sure", strong | (between & much) | F.col("unit").rlike(LOST)).groupBy("unit").agg(F.max_by(F.struct("restored", "decoded", "written", "sure"), order).alias("b"))
     row = "unit string, restored string, decoded string, written string, sure boolean"
     got = best.select("unit", F.when(~F.col("b.restored").contains("\ufffd"), F.col("b.restored")).alias("restored"), "b.decoded", "b.written", "b.sure")
-    got = got.unionByName(twins(units).select("unit", "twin").mapInPandas(_dropped, row))
+    got = got.unionByName(pairs.mapInPandas(_dropped, row))
     lost = units.filter(F.col("unit").rlike(LOST)).select("unit", F.lit(None).cast("string").alias("restored"), F.lit("").alias("decoded"), F.lit("").alias("written"), F.lit(True).alias("sure"))
     every = got.unionByName(lost).groupBy("unit").agg(F.max(F.struct("restored", "decoded", "written", "sure")).alias("b"))
-    return durable(every.select("unit", "b.restored", "b.decoded", "b.written", "b.sure"))
+    return durable(every.join(units, "unit").select("unit", "n", "b.restored", "b.decoded", "b.written", "b.sure"))
+
+
+def with_garbled(units: DataFrame, bad: DataFrame) -> DataFrame:
+    """doc_id and unit with what is known of the unit, if it is garbled.
+
+    A unit that at least a thousandth of all (doc_id, unit) rows with garbled units hold is broadcast;
+    there can be no more than 1,000 of these. The rest is joined by unit, where none is hot.
+    """
+    total = bad.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = (F.col("n") * 1000 >= total) & (F.length("unit") <= 1024)
+    known = F.broadcast(bad.filter(hot))
+    rest = bad.filter(~hot)
+    return units.join(known, "unit").unionByName(units.join(F.broadcast(bad.filter(hot).select("unit")), "unit", "left_anti").join(rest, "unit"))
 
 
 def affected(documents: DataFrame) -> DataFrame:
     """doc_id and the garbled units of each document that has a sure one; lone symbols beside numbers only are not sure."""
     by_doc = doc_units(documents)
     bad = garbled_units(by_doc)
-    n = bad.agg(F.count("*").alias("n"), F.sum(F.length("unit")).alias("c")).first()
-    if n["n"] <= BROADCAST_ROWS and (n["c"] or 0) <= 2 << 20:
-        bad = F.broadcast(bad)
-    units = by_doc.select("doc_id", F.explode("units").alias("unit")).join(bad, "unit")
+    units = by_doc.select("doc_id", F.explode("units").alias("unit"))
+    shown = bounded_broadcast(bad)
+    units = units.join(shown, "unit") if shown is not bad else with_garbled(units, bad)
     units = units.groupBy("doc_id").agg(F.max("sure").alias("any"), F.collect_set(F.struct("unit", "restored", "decoded", "written")).alias("units"))
     return units.filter("any").select("doc_id", "units")
 
@@ -335,9 +492,9 @@ def found(documents: DataFrame) -> DataFrame:
 def restore(documents: DataFrame) -> DataFrame:
     """doc_id, text, restored_text, status of each affected document.
 
-    Garbled units are replaced where they stand as whole units, longest first; digits keep their
-    place. status is restored if every garbled unit of the document could be had back, else marked:
-    what is left stays as it was.
+    Garbled units are replaced where they stand as whole units; digits keep their place. status is
+    restored if every garbled unit of the document could be had back, else marked: what is left stays
+    as it was.
     """
     df = documents.select("doc_id", "text").join(affected(documents), "doc_id")
 
@@ -349,16 +506,37 @@ def restore(documents: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "doc_id bigint, text string, restored_text string, status string")
 
 
+def _python(pattern: str) -> re.Pattern:
+    """A pattern of the JVM for Python, where a class does not nest."""
+    return re.compile(pattern.replace(r"[^\x00-\x7F]]", "\x80-\U0010ffff]").replace("[0-9A-Za-z[", "[0-9A-Za-z"))
+
+
+def unit_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Where the units of a text stand, and what `normal` makes of them."""
+    for m in FIND_UNIT.finditer(text):
+        found, a, b = m.group(), m.start(), m.end()
+        core = FIND_CORE.search(found)
+        if IS_STRONG.search(core.group()):
+            bare = core.group()
+            a += core.start() + len(bare) - len(bare.lstrip("0123456789"))
+            b = m.start() + core.end() - (len(bare) - len(bare.rstrip("0123456789")))
+        yield a, b, re.sub("[0-9]+", "0", text[a:b])
+
+
 def _apply(text: str, units) -> tuple[str, bool]:
-    done = True
-    for u in sorted(units, key=lambda u: (-len(u["unit"]), u["unit"])):
-        if u["restored"] is None:
-            done = False
+    known = {u["unit"]: u["restored"] for u in units}
+    out, at, done = [], 0, True
+    for a, b, unit in unit_spans(text):
+        if unit not in known:
             continue
-        marks, clean = re.split("0", u["unit"]), u["restored"].split("0")
-        if len(marks) != len(clean):
+        digits = re.findall("[0-9]+", text[a:b])
+        clean = None if known[unit] is None else known[unit].split("0")
+        if clean is None or len(clean) != len(digits) + 1:
             done = False
             continue
-        pattern = "([0-9]+)".join(re.escape(m) for m in marks)
-        text = re.sub(pattern, lambda m, clean=clean: clean[0] + "".join(g + c for g, c in zip(m.groups(), clean[1:])), text)
-    return text, done
+        out += [text[at:a], clean[0], *(x for pair in zip(digits, clean[1:]) for x in pair)]
+        at = b
+    return "".join(out) + text[at:], done
+
+
+FIND_UNIT, FIND_CORE, IS_STRONG = _python(UNIT), _python(CORE), _python(STRONG)

@@ -73,3 +73,51 @@ def test_aligned_and_undo():
 def test_short_units_are_learned_from(spark):
     units = spark.createDataFrame([("0 ░C", 2), ("0 °C", 500), ("▒0", 2), ("±0", 500)], "unit string, n bigint")
     assert ("cp437", "cp1252") in mojibake.learn(units, mojibake.pair_counts(units))
+
+
+def test_a_unit_of_many_parts_is_restored():
+
+    unit = "中".join(garble(c, "utf_8", "cp1252") for c in "äöüäöüäöüäöü")
+    forms = mojibake.restored_forms(unit, {"cp1252": ["utf_8"]}, set("äöü中"), True)
+    assert ("中".join("äöüäöüäöüäöü"), "cp1252", "utf_8") in forms
+
+
+def test_more_than_three_rounds():
+    unit = "ä"
+    for _ in range(5):
+        unit = garble(unit, "utf_8", "latin_1")
+    assert "ä" in {v for v, _, _ in mojibake.restored_forms(unit, {"latin_1": ["utf_8"]}, set("ä"), True)}
+
+
+def test_a_character_of_one_document_counts(spark):
+    units = spark.createDataFrame([("Ωx", 1), ("äb", 40)], "unit string, n bigint")
+    use = mojibake.pair_counts(units)
+    assert {"Ω", "ä"} <= use.known and use.usual("Ωx") > use.usual("Ωx", True)
+
+
+def test_units_are_replaced_as_wholes():
+    units = [{"unit": "Ã©", "restored": "é"}, {"unit": "0 Â°C", "restored": "0 °C"}, {"unit": "0Ã©", "restored": "0é"}]
+    assert mojibake._apply("Ã©, hÃ©x; 12 Â°C, 34Ã©", units) == ("é, hÃ©x; 12 °C, 34é", True)
+
+
+@pytest.mark.parametrize("text", ["x12 °C between 7", "für 100µm", "naïve; 5× 10 ±0,5 %", "中文，12:3", "“a” – b", "é" * 50])
+def test_units_of_python_and_of_the_cluster(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = set(mojibake.doc_units(df).first()["units"])
+    assert got == {u for _, _, u in mojibake.unit_spans(text)}
+
+
+def test_mappings_come_from_twins_alone(spark):
+    words = ["gr{}n", "f{}r alle", "T{}r", "m{}de", "k{}hl"]
+    rows = [(w.format("ü"), 50) for w in words] + [(w.format("QÜ".replace("Q", "Ã")), 2) for w in words] + [("café", 50), ("cafè", 2)]
+    pairs = mojibake.twins(spark.createDataFrame(rows, "unit string, n bigint")).select("unit", "twin")
+    assert mojibake.learn_maps(pairs) == {"ÃÜ": "ü"}
+    assert mojibake.mapped_form("TÃÜr", {"ÃÜ": "ü"}, 2) == "Tür" and mojibake.mapped_form("Tær", {"ÃÜ": "ü"}, 2) == "Tær"
+
+
+def test_garbled_units_that_are_too_many_to_broadcast(spark, corpus):
+    by_doc = mojibake.doc_units(corpus[0])
+    bad = mojibake.garbled_units(by_doc)
+    units = by_doc.selectExpr("doc_id", "explode(units) AS unit")
+    a = sorted(map(str, mojibake.with_garbled(units, bad).collect()))
+    assert a == sorted(map(str, units.join(bad, "unit").collect())) and a
