@@ -93,5 +93,12 @@ def junction_text(sj: Column) -> Column:
     return F.array_join(F.transform(sj, lambda j: F.concat_ws("-", j["d"], j["a"])), "|")
 
 
-def columns_but(df_columns: Sequence[str], drop: Sequence[str]) -> list[str]:
-    return [c for c in df_columns if c not in set(drop)]
+def junctions_of(text: Column) -> Column:
+    """The junction array of a canonical text."""
+    part = lambda x, i: F.regexp_extract(x, r"^(-?[0-9]+)-(-?[0-9]+)$", i).cast("bigint")
+    return F.transform(F.filter(F.split(text, r"\|"), lambda x: x != ""), lambda x: F.struct(part(x, 1).alias("d"), part(x, 2).alias("a")))
+
+
+def junction_sites(sj: Column) -> Column:
+    """Distinct donor and acceptor positions of a junction array."""
+    return F.array_distinct(F.flatten(F.transform(sj, lambda j: F.array(j["d"], j["a"]))))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.genome import bare_chrom, junction_text
+from ..functions.genome import bare_chrom, junction_sites, junction_text, junctions_of
 
 
 def keep_alignment(flag: Column, mapq: Column, least_mapq: int = 5, use_secondary: bool = False) -> Column:
@@ -62,22 +62,38 @@ def sorted_segments(segments: Column) -> Column:
     return F.array_sort(F.transform(segments, lambda x: F.struct(x["is_supp"].alias("is_supp"), x["chrom"].alias("chrom"), x["s"].alias("s"), x["e"].alias("e"), x["strand"].alias("strand"))))
 
 
+def weight(df: DataFrame) -> Column:
+    """Reads that a row stands for: its n, or 1."""
+    return F.col("n") if "n" in df.columns else F.lit(1)
+
+
 def with_signature(reads: DataFrame) -> DataFrame:
-    """Reads with sj, left, right and pid, the md5 of chrom:d-a|d-a; the strand plays no part."""
+    """Reads with sj, junctions (its text), left, right and pid, the md5 of chrom:d-a|d-a; the strand plays no part."""
     df = reads.withColumn("exons", F.array_sort(F.filter("exons", lambda x: x.isNotNull() & x["s"].isNotNull() & x["e"].isNotNull()))).filter(F.size("exons") > 0)
-    df = df.withColumn("sj", junctions(F.col("exons")))
+    df = df.withColumn("sj", junctions(F.col("exons"))).withColumn("junctions", junction_text(F.col("sj")))
     df = df.withColumn("left", F.col("exons")[0]["s"]).withColumn("right", F.element_at("exons", -1)["e"])
-    return df.withColumn("pid", F.md5(F.concat_ws(":", "chrom", junction_text(F.col("sj")))))
+    return df.withColumn("pid", signature(F.col("chrom"), F.col("junctions")))
+
+
+def signature(chrom: Column, junctions: Column) -> Column:
+    return F.md5(F.concat_ws(":", chrom, junctions))
+
+
+def collapse(reads: DataFrame) -> DataFrame:
+    """Reads that agree in all that is kept of them as one row with their number n; supp and info are kept where they are given."""
+    keep = ["sample_id", "pid", "chrom", "junctions", "left", "right", "strand", *(c for c in ("supp", "info") if c in reads.columns)]
+    return reads.groupBy(*keep).agg(F.sum(weight(reads)).cast("bigint").alias("n"))
 
 
 def profiles(reads: DataFrame) -> DataFrame:
     """Per sample and signature: sample_id, pid, chrom, sj, evidence."""
-    return reads.groupBy("sample_id", "pid").agg(F.first("chrom").alias("chrom"), F.first("sj").alias("sj"), F.count("*").alias("evidence"))
+    df = reads.groupBy("sample_id", "pid", "chrom", "junctions").agg(F.sum(weight(reads)).cast("bigint").alias("evidence"))
+    return df.select("sample_id", "pid", "chrom", junctions_of(F.col("junctions")).alias("sj"), "evidence")
 
 
 def read_shapes(reads: DataFrame) -> DataFrame:
     """Reads of a signature and sample that share ends and strand: pid, sample_id, left, right, strand, n."""
-    return reads.groupBy("pid", "sample_id", "left", "right", "strand").agg(F.count("*").alias("n"))
+    return reads.groupBy("pid", "sample_id", "left", "right", "strand").agg(F.sum(weight(reads)).cast("bigint").alias("n"))
 
 
 def cohort(profile: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -94,17 +110,12 @@ def cohort(profile: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def site_postings(pnir: DataFrame, shapes: DataFrame) -> DataFrame:
     """Postings chrom, pos, pid, n_sites, kind: 'sj' for splice sites, 'term' (n_sites 0) for read ends; each once."""
-    sj = pnir.select("chrom", F.explode(F.array_distinct(F.flatten(F.transform("sj", lambda j: F.array(j["d"], j["a"]))))).alias("pos"), "pid", "n_sites", F.lit("sj").alias("kind"))
+    sj = pnir.select("chrom", F.explode(junction_sites(F.col("sj"))).alias("pos"), "pid", "n_sites", F.lit("sj").alias("kind"))
     ends = shapes.select("pid", F.explode(F.array("left", "right")).alias("pos")).distinct()
     term = ends.join(pnir.select("pid", "chrom"), "pid").select("chrom", "pos", "pid", F.lit(0).alias("n_sites"), F.lit("term").alias("kind"))
     return sj.unionByName(term)
 
 
-def write_index(site: DataFrame, path: str) -> None:
-    """The postings in positional order, one folder a chromosome; Parquet statistics take the place of a tree."""
-    site.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.partitionBy("chrom").mode("overwrite").parquet(path)
-
-
 def sample_totals(profile: DataFrame) -> DataFrame:
     """Reads of each sample: sample_id, total_evidence."""
     return profile.groupBy("sample_id").agg(F.sum("evidence").alias("total_evidence"))

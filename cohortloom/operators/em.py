@@ -1,12 +1,16 @@
 """Expectation-maximisation over partial evidence, one call per group of overlapping transcripts.
 
-The evidence that reaches a group is reduced first: classes with the same set of compatible
-transcripts are summed per sample before the shuffle into groups, so a group's size is set by its
-transcripts and sets, not by reads or signatures.
+What reaches a group is reduced first. Transcripts with the same junction chain that the same records
+may support are interchangeable: they form one atom, solved once with its multiplicity. Records with
+the same set of compatible atoms are summed per sample into classes before the shuffle into groups.
+So a group's size is set by its distinct chains and sets, not by transcripts, reads or signatures.
+
+Mono-exon transcripts have one merged class each, and take part in their group: a group iterates until
+all its transcripts, of both kinds, have settled.
 
 Defined cases. Transcripts without a class, and multi-exon transcripts whose junctions their classes
 don't cover, get 0. Samples without coverage in a transcript's classes get 0. Order of rows plays no
-part: arrays are sorted first. Arithmetic is 32-bit, as sums of few terms; results are doubles.
+part: arrays are sorted first. Arithmetic is in doubles.
 """
 
 from __future__ import annotations
@@ -15,9 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: An atom is (cid, k): the transcripts of a chain that lie before its k-th claim.
+CLASSES = "chrom string, group_id bigint, members array<struct<cid:string,k:int>>, sample_id bigint, cov double"
+ATOMS = "cid string, atom int, sample_id bigint, em double"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -28,11 +36,11 @@ class Settings:
     start: float = 0.1
 
 
-def solve(weight: np.ndarray, member: list[np.ndarray], cov: np.ndarray, opts: Settings = Settings()) -> np.ndarray:
+def solve(weight: np.ndarray, member: list[np.ndarray], cov: np.ndarray, opts: Settings = Settings(), times: np.ndarray | None = None) -> np.ndarray:
     """Abundances (transcript x sample) of one group.
 
     weight: per transcript, 0 for those that take no part; member: transcripts of each class;
-    cov: class x sample.
+    cov: class x sample; times: how many transcripts each one stands for.
     """
     n_tx, n_s = len(weight), cov.shape[1]
     flat = np.concatenate(member) if member else np.zeros(0, dtype=int)
@@ -41,65 +49,83 @@ def solve(weight: np.ndarray, member: list[np.ndarray], cov: np.ndarray, opts: S
     flat, owner = flat[use], owner[use]
     alive = np.zeros((n_tx, n_s), dtype=bool)
     np.logical_or.at(alive, flat, cov[owner] > 0)
-    a = np.where(alive, np.float32(opts.start), np.float32(0)).astype(np.float32)
-    w = weight.astype(np.float32)[flat][:, None]
+    a = np.where(alive, opts.start, 0.0)
+    w = weight[flat][:, None]
+    m = (np.ones(n_tx) if times is None else times)[flat][:, None]
     for _ in range(opts.max_iter):
         part = a[flat] * w
-        total = np.zeros((len(member), n_s), dtype=np.float32)
-        np.add.at(total, owner, part)
+        total = np.zeros((len(member), n_s))
+        np.add.at(total, owner, part * m)
         gamma = np.divide(part, total[owner], out=np.zeros_like(part), where=total[owner] > 0)
         new = np.zeros_like(a)
-        np.add.at(new, flat, cov[owner].astype(np.float32) * gamma)
-        new = np.where(alive, np.float32(opts.damping) * new + np.float32(1 - opts.damping) * a, np.float32(0))
-        diff = np.abs(new - a) / np.where(np.abs(a) < 1e-6, np.float32(1), np.abs(a))
+        np.add.at(new, flat, cov[owner] * gamma)
+        new = np.where(alive, opts.damping * new + (1 - opts.damping) * a, 0.0)
+        diff = np.abs(new - a) / np.where(np.abs(a) < 1e-6, 1.0, np.abs(a))
         a = new
         if not (diff[alive] > opts.conv_min_diff).any():
             break
     return a
 
 
-def classes(chains: DataFrame, tx: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Classes of a group: chrom, group_id, txs (sorted compatible transcripts), sample_id, cov."""
-    of = chains.join(tx.select("tx_idx", "chrom", "group_id"), "tx_idx").groupBy("chrom", "group_id", "pid")
-    of = of.agg(F.array_sort(F.collect_set("tx_idx")).alias("txs"))
-    df = of.join(evidence.select("pid", "sample_id", "evidence"), "pid")
-    return df.groupBy("chrom", "group_id", "txs", "sample_id").agg(F.sum("evidence").alias("cov"))
-
+def transcript_order() -> Column:
+    return F.struct("start", "end", "tx_idx")
 
-def abundances(cls: DataFrame, tx: DataFrame, eligible: DataFrame, opts: Settings = Settings()) -> DataFrame:
-    """tx_idx, sample_id, em of multi-exon transcripts; rows with 0 are left out."""
-    info = tx.join(eligible, "tx_idx", "left_semi").select("chrom", "group_id", "tx_idx", F.size("sj").alias("n_sj"))
-    info = info.groupBy("chrom", "group_id").agg(F.array_sort(F.collect_list(F.struct("tx_idx", "n_sj"))).alias("info"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n_sj = {r["tx_idx"]: r["n_sj"] for r in pdf["info"].iloc[0]}
-        sets = pdf["txs"].map(tuple)
-        keys, samples = sorted(set(sets)), sorted(set(pdf["sample_id"]))
-        txs = sorted({t for k in keys for t in k})
-        at, col, row = {t: i for i, t in enumerate(txs)}, {s: i for i, s in enumerate(samples)}, {k: i for i, k in enumerate(keys)}
-        cov = np.zeros((len(keys), len(samples)), dtype=np.float32)
-        for k, s, c in zip(sets, pdf["sample_id"], pdf["cov"]):
-            cov[row[k], col[s]] += c
-        weight = np.array([1.0 / (n_sj[t] + opts.effective_len_coef) if t in n_sj else 0.0 for t in txs])
-        a = solve(weight, [np.array([at[t] for t in k]) for k in keys], cov, opts)
-        i, j = np.nonzero(a)
-        return pd.DataFrame({"tx_idx": np.array(txs)[i], "sample_id": np.array(samples)[j], "em": a[i, j].astype(float)})
+def kept_runs(runs: DataFrame, fsm: DataFrame, tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs that some transcript of the chain may keep, and the atoms of all multi-exon transcripts.
 
-    df = cls.join(info, ["chrom", "group_id"])
-    return df.groupBy("chrom", "group_id").applyInPandas(run, "tx_idx bigint, sample_id bigint, em double")
+    A record is claimed by the first transcript of the group, in order, that it matches in full; that
+    one and all later ones do without it. So a chain's claims cut its transcripts into atoms.
 
-
-def mono_abundances(cov: DataFrame, opts: Settings = Settings()) -> DataFrame:
-    """tx_idx, sample_id, em of mono-exon transcripts from tx_idx, sample_id, cov.
-
-    A merged class has one transcript, so its share is always whole and the damped steps have a
-    closed form per sample; the steps end for a transcript when all its samples have converged.
+    runs: cid, pid and columns that stay; fsm: cid, pid; tx: tx_idx, cid, chrom, group_id, start, end.
+    Returns runs with chrom, group_id and k, where atoms below k keep the record, and (tx_idx, cid, atom,
+    chrom, group_id).
     """
-    k = F.sequence(F.lit(1), F.lit(opts.max_iter))
-    keep = 1 - opts.damping
-    value = lambda n: F.col("cov") + (F.lit(opts.start) - F.col("cov")) * F.pow(F.lit(keep), n)
-    step = F.transform(k, lambda n: F.abs(value(n) - value(n - 1)) / F.when(F.abs(value(n - 1)) < 1e-6, 1.0).otherwise(F.abs(value(n - 1))))
-    last = F.coalesce(F.nullif(F.array_position(F.transform(step, lambda d: d <= opts.conv_min_diff), F.lit(True)), F.lit(0).cast("bigint")), F.lit(opts.max_iter))
-    df = cov.withColumn("steps", last)
-    need = df.groupBy("tx_idx").agg(F.max("steps").alias("n"))
-    return df.join(need, "tx_idx").select("tx_idx", "sample_id", value(F.col("n")).alias("em"))
+    tx = tx.select("tx_idx", "cid", "chrom", "group_id", transcript_order().alias("ord"))
+    chain = tx.groupBy("cid").agg(F.first("chrom").alias("chrom"), F.first("group_id").alias("group_id"), F.min("ord").alias("first_ord"))
+    claim = fsm.join(chain, "cid").groupBy("chrom", "group_id", "pid").agg(F.min("first_ord").alias("claim"))
+    df = runs.join(chain, "cid").join(claim, ["chrom", "group_id", "pid"], "left").filter(F.col("claim").isNull() | (F.col("claim") > F.col("first_ord")))
+    cuts = df.groupBy("cid").agg(F.array_sort(F.collect_set("claim")).alias("cuts"))
+    df = df.join(cuts, "cid").withColumn("k", F.when(F.col("claim").isNull(), F.size("cuts") + 1).otherwise(F.array_position("cuts", F.col("claim"))).cast("int"))
+    atoms = tx.join(cuts, "cid").withColumn("atom", F.size(F.filter("cuts", lambda c: c <= F.col("ord"))))
+    return df.select(*runs.columns, "chrom", "group_id", "k"), atoms.select("tx_idx", "cid", "atom", "chrom", "group_id")
+
+
+def coverage(runs: DataFrame, n_sj: DataFrame) -> DataFrame:
+    """cid, n_sj, covered: atoms below `covered` have all their junctions in the run of some record they keep."""
+    at = runs.select("cid", "k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_sj") - 1)).alias("j"))
+    most = at.groupBy("cid", "j").agg(F.max("k").alias("k")).groupBy("cid").agg(F.count("*").alias("n"), F.min("k").alias("k"))
+    return most.join(n_sj, "cid").select("cid", "n_sj", F.when(F.col("n") == F.col("n_sj"), F.col("k")).otherwise(0).alias("covered"))
+
+
+def classes(runs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Classes of the groups: chrom, group_id, members (atoms), sample_id, cov."""
+    of = runs.groupBy("chrom", "group_id", "pid").agg(F.array_sort(F.collect_set(F.struct("cid", "k"))).alias("members"))
+    df = of.join(evidence.select("pid", "sample_id", "evidence"), "pid")
+    return df.groupBy("chrom", "group_id", "members", "sample_id").agg(F.sum("evidence").cast("double").alias("cov"))
+
+
+def solve_group(cls: pd.DataFrame, info: pd.DataFrame, opts: Settings) -> pd.DataFrame:
+    """Abundances of the atoms of one group; rows of 0 are left out. info: cid, n_sj, covered, atom, times."""
+    about: dict[str, list] = {}
+    for r in info.itertuples():
+        about.setdefault(r.cid, []).append((r.atom, r.times, 1.0 / (r.n_sj + opts.effective_len_coef) if r.atom < r.covered else 0.0))
+    sets = cls["members"].map(lambda m: tuple((x["cid"], x["k"]) for x in m))
+    keys, samples = sorted(set(sets)), sorted(set(cls["sample_id"]))
+    atoms = sorted((c, a) for c in {c for k in keys for c, _ in k} for a, _, _ in about.get(c, ()))
+    at, col, row = {t: i for i, t in enumerate(atoms)}, {s: i for i, s in enumerate(samples)}, {k: i for i, k in enumerate(keys)}
+    cov = np.zeros((len(keys), len(samples)))
+    for k, s, c in zip(sets, cls["sample_id"], cls["cov"]):
+        cov[row[k], col[s]] += c
+    shown = {(c, a): (n, w) for c, v in about.items() for a, n, w in v}
+    times, weight = np.array([float(shown[t][0]) for t in atoms]), np.array([shown[t][1] for t in atoms])
+    member = [np.array([at[c, a] for c, k in key for a, _, _ in about.get(c, ()) if a < k], dtype=int) for key in keys]
+    got = solve(weight, member, cov, opts, times) if atoms else np.zeros((0, len(samples)))
+    i, j = np.nonzero(got)
+    return pd.DataFrame({"cid": [atoms[x][0] for x in i], "atom": [atoms[x][1] for x in i], "sample_id": [samples[x] for x in j], "em": got[i, j]})
+
+
+def abundances(cls: DataFrame, info: DataFrame, opts: Settings = Settings()) -> DataFrame:
+    """cid, atom, sample_id, em of all groups. cls as CLASSES; info: chrom, group_id, cid, n_sj, covered, atom, times."""
+    left, right = cls.groupBy("chrom", "group_id"), info.groupBy("chrom", "group_id")
+    return left.cogroup(right).applyInPandas(lambda a, b: solve_group(a, b, opts), ATOMS)

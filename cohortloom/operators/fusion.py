@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .build import weight
 from .rangejoin import flank_join, interval_join, range_join
 
 
@@ -21,14 +22,22 @@ def any_near(supp: Column, chrom: Column, lo: Column, hi: Column) -> Column:
     return F.exists(supp, lambda x: (x["chrom"] == chrom) & (x["s"] <= hi) & (x["e"] >= lo))
 
 
+def supporting(reads: DataFrame, *columns: str) -> DataFrame:
+    """Reads with supplementary segments, those that agree in the columns as one row with their number n.
+
+    A record that holds much of the data is reduced to its distinct segments before it is joined.
+    """
+    return reads.filter(F.size("supp") > 0).groupBy(*columns).agg(F.sum(weight(reads)).cast("bigint").alias("n"))
+
+
 def breakpoint_evidence(q: DataFrame, site: DataFrame, reads: DataFrame, flank: int = 10) -> DataFrame:
     """id, sample_id, evidence: reads of records at one breakpoint with a segment at the other, both ways added."""
     sides = q.select("id", F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(f"chr{a}").alias("chrom"), F.col(f"pos{a}").alias("q_pos"), F.col(f"chr{b}").alias("m_chrom"), F.col(f"pos{b}").alias("m_pos")) for n, a, b in (("left", 1, 2), ("right", 2, 1))))).alias("s")).select("id", "s.*")
     hits = flank_join(sides, site.select("chrom", "pos", "pid"), "q_pos", "pos", flank).select("id", "side", "m_chrom", "m_pos", "pid").distinct()
     full = hits.groupBy("id").agg(F.countDistinct("side").alias("n")).filter("n = 2").select("id")
-    df = hits.join(full, "id", "left_semi").join(reads.filter(F.size("supp") > 0).select("pid", "sample_id", "supp"), "pid")
+    df = hits.join(full, "id", "left_semi").join(supporting(reads, "pid", "sample_id", "supp"), "pid")
     df = df.filter(any_near(F.col("supp"), F.col("m_chrom"), F.col("m_pos") - flank, F.col("m_pos") + flank))
-    return df.groupBy("id", "sample_id").agg(F.count("*").alias("evidence"))
+    return df.groupBy("id", "sample_id").agg(F.sum("n").alias("evidence"))
 
 
 def breakpoint_rows(q: DataFrame, evidence: DataFrame, min_read: int = 1) -> DataFrame:
@@ -38,26 +47,26 @@ def breakpoint_rows(q: DataFrame, evidence: DataFrame, min_read: int = 1) -> Dat
 
 
 def region_reads(q: DataFrame, site: DataFrame, reads: DataFrame) -> DataFrame:
-    """Reads that support a pair of regions: id, side, sample_id, pid, left, right and the first segment that starts or ends in the other region."""
+    """Reads that support a pair of regions: id, side, sample_id, pid, left, right the first segment that starts or ends in the other region, and the number n of such reads."""
     cols = lambda n, a, b: F.struct(F.lit(n).alias("side"), F.col(f"chr{a}").alias("chrom"), F.col(f"s{a}").alias("lo"), F.col(f"e{a}").alias("hi"), F.col(f"chr{b}").alias("m_chrom"), F.col(f"s{b}").alias("m_lo"), F.col(f"e{b}").alias("m_hi"))
     sides = q.select("id", F.explode(F.array(cols("left", 1, 2), cols("right", 2, 1))).alias("x")).select("id", "x.*")
     hits = range_join(sides, site.select("chrom", "pos", "pid"), F.col("lo"), F.col("hi"), "pos", 1 << 12).select("id", "side", "m_chrom", "m_lo", "m_hi", "pid").distinct()
-    df = hits.join(reads.filter(F.size("supp") > 0).select("pid", "sample_id", "left", "right", "strand", "supp"), "pid")
+    df = hits.join(supporting(reads, "pid", "sample_id", "left", "right", "strand", "supp"), "pid")
     inside = lambda p: (p >= F.col("m_lo")) & (p <= F.col("m_hi"))
     seg = F.get(F.filter("supp", lambda x: (x["chrom"] == F.col("m_chrom")) & (inside(x["s"]) | inside(x["e"]))), F.lit(0))
     df = df.withColumn("seg", seg).filter("seg is not null")
-    return df.select("id", "side", "sample_id", "pid", "left", "right", F.col("seg.chrom").alias("seg_chrom"), F.col("seg.s").alias("seg_s"), F.col("seg.e").alias("seg_e"))
+    return df.select("id", "side", "sample_id", "pid", "left", "right", F.col("seg.chrom").alias("seg_chrom"), F.col("seg.s").alias("seg_s"), F.col("seg.e").alias("seg_e"), "n")
 
 
 def candidates(pnir: DataFrame, reads: DataFrame) -> DataFrame:
     """Groups of reads with the same main junctions and segments on one chromosome: cand, chrom, main sites, supp chrom, supp sites, sample_id, n."""
     one = F.size(F.array_distinct(F.transform("supp", lambda x: x["chrom"]))) == 1
-    df = reads.filter((F.size("supp") > 0) & one).select("pid", "sample_id", "supp").join(pnir.select("pid", F.col("chrom").alias("main_chrom"), "sj"), "pid")
+    df = supporting(reads.filter(one), "pid", "sample_id", "supp").join(pnir.select("pid", F.col("chrom").alias("main_chrom"), "sj"), "pid")
     main = F.array_sort(F.flatten(F.transform("sj", lambda j: F.array(j["d"], j["a"]))))
     supp = F.array_sort(F.flatten(F.transform("supp", lambda x: F.array(x["s"], x["e"]))))
-    df = df.select("main_chrom", main.alias("main"), F.col("supp")[0]["chrom"].alias("supp_chrom"), supp.alias("supp"), "sample_id")
+    df = df.select("main_chrom", main.alias("main"), F.col("supp")[0]["chrom"].alias("supp_chrom"), supp.alias("supp"), "sample_id", "n")
     df = df.withColumn("cand", F.md5(F.concat_ws(";", "main_chrom", F.array_join("main", ","), "supp_chrom", F.array_join("supp", ","))))
-    return df.groupBy("cand", "sample_id").agg(F.first("main_chrom").alias("main_chrom"), F.first("main").alias("main"), F.first("supp_chrom").alias("supp_chrom"), F.first("supp").alias("supp"), F.count("*").alias("n"))
+    return df.groupBy("cand", "sample_id").agg(F.first("main_chrom").alias("main_chrom"), F.first("main").alias("main"), F.first("supp_chrom").alias("supp_chrom"), F.first("supp").alias("supp"), F.sum("n").alias("n"))
 
 
 def best_gene(spans: DataFrame, key: str, gene: DataFrame, flank: int = 10, gene_type: str | None = "protein_coding") -> DataFrame:
@@ -72,10 +81,10 @@ def best_gene(spans: DataFrame, key: str, gene: DataFrame, flank: int = 10, gene
     return df.withColumn("rn", F.row_number().over(w)).withColumn("ambiguous", F.count("*").over(Window.partitionBy(key)) > 1).filter("rn = 1").select(key, "gene_id", "gene_name", "n_match", "ambiguous")
 
 
-def gene_pairs(cand: DataFrame, gene: DataFrame, flank: int = 10) -> DataFrame:
+def gene_pairs(cand: DataFrame, gene: DataFrame, flank: int = 10, gene_type: str | None = "protein_coding") -> DataFrame:
     """Candidates whose two sides fall into different genes: pair (names in order), direction and sites of each side."""
     shape = cand.groupBy("cand").agg(*(F.first(c).alias(c) for c in ("main_chrom", "main", "supp_chrom", "supp")))
-    side = lambda c, p: best_gene(shape.select("cand", F.col(f"{c}_chrom").alias("chrom"), F.col(c).alias("sites")), "cand", gene, flank).select("cand", F.col("gene_id").alias(f"{p}_id"), F.col("gene_name").alias(f"{p}_name"))
+    side = lambda c, p: best_gene(shape.select("cand", F.col(f"{c}_chrom").alias("chrom"), F.col(c).alias("sites")), "cand", gene, flank, gene_type).select("cand", F.col("gene_id").alias(f"{p}_id"), F.col("gene_name").alias(f"{p}_name"))
     df = shape.join(side("main", "m"), "cand").join(side("supp", "s"), "cand").filter("m_id <> s_id")
     forward = F.col("m_name") <= F.col("s_name")
     return df.select("cand", F.least("m_name", "s_name").alias("gene_a"), F.greatest("m_name", "s_name").alias("gene_b"), F.when(forward, "ab").otherwise("ba").alias("direction"), "main_chrom", "main", "supp_chrom", "supp")

@@ -8,10 +8,13 @@ looked up once. Ties in the order of transcripts are settled by (start, end, tx_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .periods import BIN, periods_and_gaps
+from ..functions.genome import junction_sites, junction_text
+from ..session import durable
+from .build import signature
+from .periods import BIN, periods_and_gaps, with_next
 from .rangejoin import flank_join, interval_join
 
 
@@ -29,18 +32,37 @@ def overlap_groups(df: DataFrame, entity: str = "chrom", start: str = "start", e
 
 
 def elementary_segments(df: DataFrame, entity: str, start: str, end: str, id_: str) -> DataFrame:
-    """Segments between neighbouring end points with the intervals active in them: entity, seg_start, seg_end, id."""
-    points = df.select(entity, F.explode(F.array(start, end)).alias("p")).distinct()
-    segs = points.select(entity, F.col("p").alias("seg_start"), F.lead("p").over(Window.partitionBy(entity).orderBy("p")).alias("seg_end")).filter("seg_end is not null")
-    starts = df.select(entity, F.col(start).alias("_s"), F.col(end).alias("_e"), id_).filter("_s < _e")
-    hit = interval_join(starts, segs, "_s", "_e", "seg_start", "seg_end", 1 << 14, entity)
-    return hit.filter("_s <= seg_start and _e >= seg_end").select(entity, "seg_start", "seg_end", id_)
+    """Segments between neighbouring end points with the intervals active in them: entity, seg_start, seg_end, id.
 
+    Neighbours are found in coordinate bins; equal intervals are swept once.
+    """
+    spans = durable(df.select(entity, F.col(start).alias("_s"), F.col(end).alias("_e"), id_).filter("_s < _e"))
+    points = spans.select(entity, F.explode(F.array("_s", "_e")).alias("pos")).distinct().withColumn("bin", F.floor(F.col("pos") / BIN))
+    segs = with_next(durable(points), [entity]).select(entity, F.col("pos").alias("seg_start"), F.col("next_pos").alias("seg_end"))
+    hit = interval_join(spans.select(entity, "_s", "_e").distinct(), segs, "_s", "_e", "seg_start", "seg_end", 1 << 14, entity)
+    hit = hit.filter("_s <= seg_start and _e >= seg_end")
+    return spans.join(hit, [entity, "_s", "_e"]).select(entity, "seg_start", "seg_end", id_)
+
+
+def tx_chains(tx: DataFrame) -> DataFrame:
+    """The distinct junction chains of multi-exon transcripts: cid, chrom, sj. Transcripts that share one are matched once."""
+    return tx.filter(~F.col("is_mono")).select(chain_id(), "chrom", "sj").dropDuplicates(["cid"])
+
+
+def chain_id() -> Column:
+    return signature(F.col("chrom"), junction_text(F.col("sj"))).alias("cid")
+
+
+def by_transcript(df: DataFrame, tx: DataFrame) -> DataFrame:
+    """Rows of chains as rows of the transcripts that have them."""
+    return df.join(tx.filter(~F.col("is_mono")).select("tx_idx", chain_id()), "cid").drop("cid")
 
-def tx_sites(tx: DataFrame) -> DataFrame:
-    """Junction sites of multi-exon transcripts: tx_idx, chrom, sj_no (from 0), side (0 donor, 1 acceptor), q_pos."""
-    df = tx.filter(~F.col("is_mono")).select("tx_idx", "chrom", F.posexplode("sj").alias("sj_no", "j"))
-    return df.select("tx_idx", "chrom", "sj_no", F.posexplode(F.array("j.d", "j.a")).alias("side", "q_pos"))
+
+def tx_sites(tx: DataFrame, id_: str = "tx_idx") -> DataFrame:
+    """Junction sites of multi-exon transcripts (or of chains): id, chrom, sj_no (from 0), side (0 donor, 1 acceptor), q_pos."""
+    df = tx.filter(~F.col("is_mono")) if "is_mono" in tx.columns else tx
+    df = df.select(id_, "chrom", F.posexplode("sj").alias("sj_no", "j"))
+    return df.select(id_, "chrom", "sj_no", F.posexplode(F.array("j.d", "j.a")).alias("side", "q_pos"))
 
 
 def site_hits(sites: DataFrame, postings: DataFrame, flank: int) -> DataFrame:
@@ -53,10 +75,46 @@ def site_hits(sites: DataFrame, postings: DataFrame, flank: int) -> DataFrame:
 def full_matches(hits: DataFrame, tx: DataFrame) -> DataFrame:
     """Relational division: (tx_idx, pid) where the signature is hit at every site and has as many sites."""
     n = hits.groupBy("tx_idx", "pid", "n_sites").agg(F.countDistinct("q_pos").alias("n_hit"))
-    want = tx.filter(~F.col("is_mono")).select("tx_idx", F.size(F.array_distinct(F.flatten(F.transform("sj", lambda j: F.array(j["d"], j["a"]))))).alias("n_pos"), (F.size("sj") * 2).alias("n_all"))
+    want = tx.filter(~F.col("is_mono")).select("tx_idx", F.size(junction_sites(F.col("sj"))).alias("n_pos"), (F.size("sj") * 2).alias("n_all"))
     return n.join(want, "tx_idx").filter("n_hit = n_pos and n_sites = n_all").select("tx_idx", "pid")
 
 
+def full_chain_matches(chains: DataFrame, pnir: DataFrame, postings: DataFrame, flank: int) -> DataFrame:
+    """(cid, pid) of full matches: the record has as many sites as the chain, and one within flank of each.
+
+    Only a chain's rarest site is looked up: the one with the fewest records of that many sites
+    around it. The records found are then tested on their own junctions, so the sites that all
+    records of a gene share multiply nothing.
+    """
+    sites = chains.select("cid", "chrom", (F.size("sj") * 2).alias("n_sites"), F.explode(junction_sites(F.col("sj"))).alias("q_pos"))
+    posted = postings.filter("kind = 'sj'").select("chrom", "pos", "pid", F.col("n_sites").alias("m_sites"))
+    counts = posted.groupBy("chrom", "pos", "m_sites").agg(F.count("*").alias("n"))
+    near = flank_join(sites.select("chrom", "n_sites", "q_pos").distinct(), counts, "q_pos", "pos", flank).filter("n_sites = m_sites")
+    near = near.groupBy("chrom", "n_sites", "q_pos").agg(F.sum("n").alias("n"))
+    rare = sites.join(near, ["chrom", "n_sites", "q_pos"], "left").groupBy("cid", "chrom", "n_sites").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "q_pos")).alias("r"))
+    # a site without any record rules the chain out
+    probes = rare.filter("r.n > 0").select("cid", "chrom", "n_sites", F.col("r.q_pos").alias("q_pos"))
+    pairs = flank_join(probes, posted, "q_pos", "pos", flank).filter("n_sites = m_sites").select("cid", "pid").distinct()
+    pairs = pairs.join(chains.select("cid", junction_sites(F.col("sj")).alias("want")), "cid").join(pnir.select("pid", junction_sites(F.col("sj")).alias("have")), "pid")
+    return pairs.filter(F.forall("want", lambda q: F.exists("have", lambda r: F.abs(r - q) <= flank))).select("cid", "pid")
+
+
+def run_matches(chains: DataFrame, pnir: DataFrame, flank: int) -> DataFrame:
+    """(cid, pid, first, n_sj) of records whose junctions are a contiguous run of the chain's, each end within flank.
+
+    Such a record's first junction is near one of the chain's, so records are found by it: distinct
+    junctions meet distinct first junctions, and only then chains meet records.
+    """
+    refs = chains.select("cid", "chrom", F.explode("sj").alias("j")).select("cid", "chrom", F.col("j.d").alias("d"), F.col("j.a").alias("a"))
+    recs = pnir.filter(F.size("sj") > 0).select("pid", "chrom", F.col("sj")[0]["d"].alias("rd"), F.col("sj")[0]["a"].alias("ra"))
+    met = flank_join(refs.select("chrom", "d", "a").distinct(), recs.select("chrom", "rd", "ra").distinct(), "d", "rd", flank)
+    met = met.filter(F.abs(F.col("ra") - F.col("a")) <= flank).select("chrom", "d", "a", "rd", "ra")
+    pairs = refs.join(met, ["chrom", "d", "a"]).select("cid", "chrom", "rd", "ra").distinct().join(recs, ["chrom", "rd", "ra"]).select("cid", "pid")
+    df = pairs.join(chains.select("cid", F.col("sj").alias("ref")), "cid").join(pnir.select("pid", F.col("sj").alias("rec")), "pid")
+    df = df.withColumn("c", chain(F.col("ref"), F.col("rec"), flank)).filter(F.col("c").getField("all"))
+    return df.select("cid", "pid", F.col("c.first").alias("first"), F.size("rec").alias("n_sj"))
+
+
 def at_least(hits: DataFrame, query: str, k: int, n_queries: Column) -> DataFrame:
     """Signatures hit by at least k positions of a query; k = 0, or more than there are, means all."""
     df = hits.groupBy(query, "pid").agg(F.countDistinct("q_pos").alias("n_hit"), F.max(n_queries).alias("n"))
@@ -64,10 +122,10 @@ def at_least(hits: DataFrame, query: str, k: int, n_queries: Column) -> DataFram
     return df.filter(F.col("n_hit") >= need).select(query, "pid", "n_hit")
 
 
-def partial_matches(hits: DataFrame) -> DataFrame:
-    """(tx_idx, pid) where the signature is hit at both sites of at least one junction."""
-    both = hits.groupBy("tx_idx", "sj_no", "pid").agg(F.countDistinct("side").alias("n")).filter("n = 2")
-    return both.select("tx_idx", "pid").distinct()
+def partial_matches(hits: DataFrame, id_: str = "tx_idx") -> DataFrame:
+    """(transcript or chain, pid) where the signature is hit at both sites of at least one junction."""
+    both = hits.groupBy(id_, "sj_no", "pid").agg(F.countDistinct("side").alias("n")).filter("n = 2")
+    return both.select(id_, "pid").distinct()
 
 
 def unclaimed(partial: DataFrame, fsm: DataFrame, tx: DataFrame) -> DataFrame:

@@ -54,13 +54,22 @@ def periods_and_gaps(spans: DataFrame, entity: list[str], start: str, end: str,
     events = durable(boundary_events(spans, entity, start, end, may_be_empty))
     turns = active_counts(events, entity).filter("active = 0 or before = 0")
     turns = durable(turns.select(*entity, "bin", "pos", (F.col("before") == 0).alias("opens")))
+    df = with_next(turns, entity).withColumnRenamed("next_pos", "end_pos")
+    return df.select(*entity, F.when(F.col("opens"), "period").otherwise("gap").alias("kind"), F.col("pos").alias("start_pos"), "end_pos")
+
+
+def with_next(points: DataFrame, entity: list[str]) -> DataFrame:
+    """Distinct points (entity, bin, pos) with next_pos, the entity's next one; the last point is left out.
+
+    The next point is found within the bin; for the last of a bin it is the first of the entity's
+    next bin. The points should be written, as they are read twice.
+    """
     within = Window.partitionBy(*entity, "bin").orderBy("pos")
-    turns = turns.withColumn("next_pos", F.lead("pos").over(within))
-    first = turns.groupBy(*entity, "bin").agg(F.min("pos").alias("first_pos"))
+    first = points.groupBy(*entity, "bin").agg(F.min("pos").alias("first_pos"))
     following = Window.partitionBy(*entity).orderBy("bin")
     after = first.select(*entity, "bin", F.lead("first_pos").over(following).alias("after_bin"))
-    df = turns.join(after, [*entity, "bin"]).withColumn("end_pos", F.coalesce("next_pos", "after_bin")).filter(F.col("end_pos").isNotNull())
-    return df.select(*entity, F.when(F.col("opens"), "period").otherwise("gap").alias("kind"), F.col("pos").alias("start_pos"), "end_pos")
+    df = points.withColumn("next_pos", F.lead("pos").over(within)).join(after, [*entity, "bin"])
+    return df.withColumn("next_pos", F.coalesce("next_pos", "after_bin")).drop("after_bin", "bin").filter(F.col("next_pos").isNotNull())
 
 
 def gene_spans(gene: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genome import clamped_diff, cpm, junction_text
+from ..session import bounded_broadcast
 from .match import at_least
 from .rangejoin import flank_join
 
@@ -54,5 +55,5 @@ def splice_cells(report: DataFrame, shapes: DataFrame, profile: DataFrame, total
     reads = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("left", "right", "strand", "n"))), lambda x: F.array_repeat(F.concat_ws("|", x["left"], x["right"], x["strand"]), x["n"].cast("int")))), ",")
     hit = report.select("id", "pid")
     text = shapes.join(hit.select("pid").distinct(), "pid", "left_semi").groupBy("pid", "sample_id").agg(reads.alias("reads"))
-    df = hit.join(profile.select("pid", "sample_id", "evidence"), "pid").join(text, ["pid", "sample_id"]).join(F.broadcast(totals), "sample_id")
+    df = hit.join(profile.select("pid", "sample_id", "evidence"), "pid").join(text, ["pid", "sample_id"]).join(bounded_broadcast(totals), "sample_id")
     return df.select("id", "pid", "sample_id", "evidence", cpm(F.col("evidence"), F.col("total_evidence")).alias("cpm"), "reads")

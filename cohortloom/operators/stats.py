@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genome import cpm
+from ..session import bounded_broadcast
 
 
 def abundance_cells(fsm: DataFrame, em: DataFrame, least_em: float = 1e-4) -> DataFrame:
@@ -29,9 +30,12 @@ def query_totals(cells: DataFrame) -> DataFrame:
 
 
 def with_cpm(cells: DataFrame, totals: DataFrame) -> DataFrame:
-    """Cells with counts per million over the query's own ungated totals, one row a sample, so they are broadcast."""
-    df = cells.join(F.broadcast(totals), "sample_id")
-    df = df.withColumn("fsm_cpm", cpm(F.col("fsm"), F.col("fsm_total"))).withColumn("em_cpm", cpm(F.col("em_shown"), F.col("em_total")))
+    """Cells with counts per million; all three are over the query's own ungated totals of fsm and em together.
+
+    Totals are one row a sample; they are broadcast where they are shown to be few.
+    """
+    df = cells.join(bounded_broadcast(totals), "sample_id")
+    df = df.withColumn("fsm_cpm", cpm(F.col("fsm"), F.col("all_total"))).withColumn("em_cpm", cpm(F.col("em_shown"), F.col("all_total")))
     return df.withColumn("all_cpm", cpm(F.col("fsm") + F.col("em_shown"), F.col("all_total")))
 
 
@@ -62,15 +66,30 @@ def sample_summary(cells: DataFrame, n_tx: int, min_read: int = 1) -> DataFrame:
     return df.withColumn("pct_any", F.round(F.col("n_any") * 100.0 / max(n_tx, 1), 4))
 
 
-def isoform_rows(tx: DataFrame, cells: DataFrame, n_samples: int, min_read: int = 1) -> DataFrame:
-    """The isoform result in long form: one row per transcript and sample, with the transcript's own columns."""
+FORMAT = "CPM:COUNT:FSM_CPM:FSM_COUNT:EM_CPM:EM_COUNT:INFO"
+
+
+def isoform_rows(tx: DataFrame, cells: DataFrame, n_samples: int, min_read: int = 1, info: DataFrame | None = None) -> DataFrame:
+    """The isoform result in long form: one row per transcript and sample with evidence, with the transcript's own columns.
+
+    Columns: tx_idx, chrom, start, end, length, exon_count, trans_id, gene_id, confidence, detected and
+    n_pos_samples (total:fsm:em), min_read, attributes, sample_id, the numbers of the cell and the cell as
+    FORMAT has it. A transcript without evidence has one row without a sample.
+    """
     totals = query_totals(cells)
     full = with_cpm(cells, totals)
     full = full.withColumn("x", F.col("fsm") + F.col("em"))
     head = positives(cells, min_read).join(confidence(full, "tx_idx", "x", "all_total", n_samples), "tx_idx")
     yes = lambda c: F.when(F.col(c) > 0, "yes").otherwise("no")
-    head = head.select("tx_idx", "confidence", F.concat_ws(":", yes("n_all"), yes("n_fsm"), yes("n_em")).alias("detected"), F.concat(F.concat_ws(":", "n_all", "n_fsm", "n_em"), F.lit(f"/{n_samples}")).alias("positives"))
-    cell = F.concat_ws(":", F.round("all_cpm", 6), F.round(F.col("fsm") + F.col("em_shown"), 6), F.round("fsm_cpm", 6), "fsm", F.round("em_cpm", 6), F.round("em_shown", 6))
-    rows = tx.select("tx_idx", "chrom", "start", "end", "strand", "tx_id", "gene_id", F.size("exons").alias("exon_count"), F.aggregate("exons", F.lit(0).cast("bigint"), lambda s, x: s + x["e"] - x["s"]).alias("tx_length"))
-    rows = rows.join(head, "tx_idx", "left").fillna(0.0, ["confidence"]).fillna({"detected": "no:no:no", "positives": f"0:0:0/{n_samples}"})
-    return rows.join(full.select("tx_idx", "sample_id", "fsm", "em_shown", "all_cpm", "fsm_cpm", "em_cpm", cell.alias("cell")), "tx_idx", "left")
+    head = head.select("tx_idx", "confidence", F.concat_ws(":", yes("n_all"), yes("n_fsm"), yes("n_em")).alias("detected"), F.concat(F.concat_ws(":", "n_all", "n_fsm", "n_em"), F.lit(f"/{n_samples}")).alias("n_pos_samples"))
+    if info is None:
+        full = full.withColumn("info", F.lit(None).cast("string"))
+    else:
+        full = full.join(info, ["tx_idx", "sample_id"], "left")
+    number = lambda c: F.round(c, 6)
+    cell = F.concat_ws(":", number("all_cpm"), number(F.col("fsm") + F.col("em_shown")), number("fsm_cpm"), "fsm", number("em_cpm"), number("em_shown"), F.coalesce("info", F.lit("")))
+    length = F.aggregate("exons", F.lit(0).cast("bigint"), lambda s, x: s + x["e"] - x["s"])
+    attributes = F.col("attrs") if "attrs" in tx.columns else F.lit("")
+    rows = tx.select("tx_idx", "chrom", "start", "end", length.alias("length"), F.size("exons").alias("exon_count"), F.col("tx_id").alias("trans_id"), "gene_id", F.lit(min_read).alias("min_read"), attributes.alias("attributes"))
+    rows = rows.join(head, "tx_idx", "left").fillna(0.0, ["confidence"]).fillna({"detected": "no:no:no", "n_pos_samples": f"0:0:0/{n_samples}"})
+    return rows.join(full.select("tx_idx", "sample_id", "fsm", "em_shown", "all_cpm", "fsm_cpm", "em_cpm", "info", cell.alias("cell")), "tx_idx", "left")

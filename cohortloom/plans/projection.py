@@ -11,8 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import build, match
-from ..session import durable, parallelism, table
+from ..operators import build, em, match, quantify
+from ..session import durable, table
 
 SAMPLES = 8
 
@@ -51,23 +51,34 @@ class Cohort:
 
     @cached_property
     def reads(self) -> DataFrame:
+        """Reads that agree in all that is kept of them, with their number n.
+
+        Which exons a read has depends on a few small numbers only: junctions and signatures are worked
+        out once for each of their combinations that occurs.
+        """
         li = table(self.spark, self.d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.round(F.col("l_tax") * 100).cast("bigint").alias("tax"), F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"))
-        tx = self.tx.filter("not (n_exon = 6 and v = 3)").select(F.col("tx_idx").alias("l_partkey"), "g", "n_exon", "chrom", "strand", "exons")
+        tx = self.tx.select(F.col("tx_idx").alias("l_partkey"), "g", "n_exon", "v").filter("not (n_exon = 6 and v = 3)")
         skip = F.least(F.col("l_linenumber") % 3, F.col("n_exon") - 1)
-        shift = F.when(F.col("l_linenumber") == 7, F.col("q") % 5 - 2).otherwise(0)
-        # the driver's table is one file: spread its rows, as the arrays below are the work
-        df = li.repartition(2 * parallelism(self.spark)).join(tx, "l_partkey").withColumn("shift", shift).withColumn("kept", F.slice("exons", skip + 1, F.col("n_exon")))
-        n = F.col("n_exon") - skip
-        fixed = F.transform("kept", lambda x, i: F.struct(
-            (x["s"] + F.col("shift") - F.when((i == 0) & (n > 1), F.col("q") % 7).otherwise(0)).alias("s"),
-            (x["e"] + F.col("shift") + F.when(i == n - 1, F.col("tax")).otherwise(0)).alias("e"),
-        ))
         mate = F.when(F.col("g") % 2 == 0, F.col("g") + 1).otherwise(F.col("g") - 1)
-        at = 100000 * mate + 2000 * (1 + F.col("q") % 3)
-        seg = F.array(F.struct(F.concat(F.lit("C"), mate % 5).alias("chrom"), at.alias("s"), (at + 300).alias("e"), F.lit("+").alias("strand")))
-        supp = F.when(F.col("disc").isin(0, 10) & (mate >= 1), seg).otherwise(F.array().cast("array<struct<chrom:string,s:bigint,e:bigint,strand:string>>"))
-        df = df.select((F.col("l_suppkey") % SAMPLES).alias("sample_id"), "chrom", "strand", fixed.alias("exons"), supp.alias("supp"))
-        return durable(build.with_signature(df))
+        at = F.when(F.col("disc").isin(0, 10) & (mate >= 1), 100000 * mate + 2000 * (1 + F.col("q") % 3))
+        df = li.join(tx, "l_partkey").withColumn("skip", skip).withColumn("many", F.col("n_exon") - F.col("skip") > 1)
+        df = df.groupBy(
+            "g", "n_exon", "v", "skip", F.when(F.col("l_linenumber") == 7, F.col("q") % 5 - 2).otherwise(0).alias("shift"), F.when(~F.col("many"), F.col("tax")).otherwise(0).alias("widen"),
+            F.when(F.col("many"), F.col("q") % 7).otherwise(0).alias("lo"), F.col("tax").alias("hi"), at.alias("at"), (F.col("l_suppkey") % SAMPLES).alias("sample_id"),
+        ).agg(F.count("*").alias("n"))
+        df = durable(df)
+        key = ["g", "n_exon", "v", "skip", "shift", "widen"]
+        shape = df.select(*key).distinct().join(self.tx.select("g", "n_exon", "v", "chrom", "strand", "exons").dropDuplicates(["g", "n_exon", "v"]), ["g", "n_exon", "v"])
+        kept = F.slice("exons", F.col("skip") + 1, F.col("n_exon"))
+        shape = shape.withColumn("exons", F.transform(kept, lambda x: F.struct((x["s"] + F.col("shift")).alias("s"), (x["e"] + F.col("shift") + F.col("widen")).alias("e"))))
+        shape = durable(build.with_signature(shape).select(*key, "chrom", "strand", "pid", "junctions", "left", "right"))
+        mate_chrom = F.concat(F.lit("C"), mate % 5)
+        segment = F.array(F.struct(mate_chrom.alias("chrom"), F.col("at").alias("s"), (F.col("at") + 300).alias("e"), F.lit("+").alias("strand")))
+        supp = F.when(F.col("at").isNotNull(), segment).otherwise(F.array().cast("array<struct<chrom:string,s:bigint,e:bigint,strand:string>>"))
+        df = df.join(shape, key)
+        right = F.col("right") - F.col("widen") + F.col("hi")
+        reads = df.select("sample_id", "pid", "chrom", "junctions", (F.col("left") - F.col("lo")).alias("left"), right.alias("right"), "strand", supp.alias("supp"), "n")
+        return durable(build.collapse(reads))
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -83,32 +94,44 @@ class Cohort:
 
     @cached_property
     def site(self) -> DataFrame:
-        return build.site_postings(self.pnir, self.shapes)
+        return durable(build.site_postings(self.pnir, self.shapes))
 
     @cached_property
     def totals(self) -> DataFrame:
         return build.sample_totals(self.profile)
 
+    @cached_property
+    def chains(self) -> DataFrame:
+        """The distinct junction chains: what is matched. by_transcript gives the rows of transcripts."""
+        return durable(match.tx_chains(self.tx))
+
     @cached_property
     def hits(self) -> DataFrame:
-        return durable(match.site_hits(match.tx_sites(self.tx), self.site, 10))
+        return durable(match.site_hits(match.tx_sites(self.chains, "cid"), self.site, 10))
 
     @cached_property
     def fsm(self) -> DataFrame:
-        return durable(match.full_matches(self.hits, self.tx))
+        return durable(match.full_chain_matches(self.chains, self.pnir, self.site, 10))
 
-    @cached_property
-    def partial(self) -> DataFrame:
-        return match.unclaimed(match.partial_matches(self.hits), self.fsm, self.grouped)
+    def by_transcript(self, df: DataFrame) -> DataFrame:
+        return match.by_transcript(df, self.tx)
 
     @cached_property
-    def chains(self) -> DataFrame:
-        return match.chained(self.partial, self.tx, self.pnir, 10)
+    def kinds(self) -> DataFrame:
+        return durable(quantify.with_kinds(self.tx))
+
+    def kept(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of chains and records as pairs of transcripts that may keep the record."""
+        kept, atoms = em.kept_runs(pairs, self.fsm, self.kinds.filter(~F.col("is_mono")))
+        return kept.join(atoms.select("tx_idx", "cid", "atom"), "cid").filter(F.col("atom") < F.col("k")).drop("k", "atom", "cid")
 
     @cached_property
     def mono(self) -> DataFrame:
         return match.mono_matches(self.tx, self.pnir, 10)
 
+    def quantified(self, opts: quantify.Options = quantify.Options()) -> quantify.Quantification:
+        return quantify.quantify(self.tx, self.pnir, self.site, self.profile, self.shapes, opts)
+
 
 BASE = """
 WITH tx0 AS (SELECT p_partkey AS tx_idx, regexp_extract(p_brand, '#([0-9]+)', 1)::BIGINT AS g, p_size % 6 + 1 AS n_exon, p_partkey % 4 AS v FROM part),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.genome import junction_text
-from ..operators import build, em, fusion, match, splice, stats
-from ..session import durable
+from ..functions.genome import junction_sites, junction_text
+from ..operators import build, em, fusion, match, quantify, splice, stats
+from ..session import durable, from_nth
 from .projection import BASE, Cohort
 
 QUERIES: dict = {}
@@ -78,7 +78,7 @@ def ref_p14_positive_samples(c: Cohort) -> DataFrame:
 
 @query("SELECT pid, sj[1].d AS first_donor, list_transform(range(1, len(sj)), lambda i: sj[i + 1].d - sj[i].a) AS inner_exons FROM pnir WHERE len(sj) > 1")
 def ref_p17_inner_exons(c: Cohort) -> DataFrame:
-    inner = F.transform(F.slice("sj", 2, 1_000_000), lambda j, i: j["d"] - F.get("sj", i)["a"])
+    inner = F.transform(from_nth("sj", 2), lambda j, i: j["d"] - F.get("sj", i)["a"])
     return c.pnir.filter(F.size("sj") > 1).select("pid", F.col("sj")[0]["d"].alias("first_donor"), inner.alias("inner_exons"))
 
 
@@ -109,10 +109,10 @@ def ref_j1_exact_lookup(c: Cohort) -> DataFrame:
 
 @query("SELECT tx_idx, sj_no, side, pid, n_sites FROM hits")
 def ref_j2_flank_lookup(c: Cohort) -> DataFrame:
-    return c.hits.select("tx_idx", "sj_no", "side", "pid", "n_sites")
+    return c.by_transcript(c.hits).select("tx_idx", "sj_no", "side", "pid", "n_sites")
 
 
-@query("SELECT DISTINCT tx_idx, pid, kind FROM tx JOIN site ON site.chrom = tx.chrom AND pos BETWEEN start AND \"end\" WHERE tx_idx % 20 = 0")
+@query("SELECT DISTINCT tx_idx, pid, kind FROM tx JOIN site ON site.chrom = tx.chrom AND pos BETWEEN start AND \"end\"")
 def ref_j3_range_scan(c: Cohort) -> DataFrame:
     from ..operators.rangejoin import range_join
 
@@ -124,18 +124,18 @@ def ref_j3_range_scan(c: Cohort) -> DataFrame:
 
 @query("SELECT tx_idx, sj_no, side, count(DISTINCT pid) AS n FROM hits GROUP BY ALL")
 def ref_j4_hits_per_site(c: Cohort) -> DataFrame:
-    return c.hits.groupBy("tx_idx", "sj_no", "side").agg(F.countDistinct("pid").alias("n"))
+    return c.by_transcript(c.hits.groupBy("cid", "sj_no", "side").agg(F.countDistinct("pid").alias("n")))
 
 
 @query("SELECT tx_idx, pid FROM hits JOIN tx USING (tx_idx) GROUP BY tx_idx, pid HAVING count(DISTINCT q_pos) = any_value(len(list_distinct(flatten(list_transform(sj, lambda j: [j.d, j.a])))))")
 def ref_j5_u1_hit_by_all(c: Cohort) -> DataFrame:
-    n = c.tx.select("tx_idx", F.size(F.array_distinct(F.flatten(F.transform("sj", lambda j: F.array(j["d"], j["a"]))))).alias("n_pos"))
-    return match.at_least(c.hits.join(n, "tx_idx"), "tx_idx", 0, F.col("n_pos")).select("tx_idx", "pid")
+    n = c.chains.select("cid", F.size(junction_sites(F.col("sj"))).alias("n_pos"))
+    return c.by_transcript(match.at_least(c.hits.join(n, "cid"), "cid", 0, F.col("n_pos")).select("cid", "pid"))
 
 
 @query("SELECT * FROM fsm")
 def ref_j6_full_matches(c: Cohort) -> DataFrame:
-    return c.fsm
+    return c.by_transcript(c.fsm)
 
 
 @query("SELECT gene_id, pid, count(DISTINCT q) AS n_hit FROM (SELECT gene_id, chrom, unnest(sites) AS q FROM gene) g JOIN site s ON s.chrom = g.chrom AND abs(pos - q) <= 10 WHERE kind = 'sj' GROUP BY ALL HAVING count(DISTINCT q) >= 2")
@@ -146,17 +146,17 @@ def ref_j7_at_least_k(c: Cohort) -> DataFrame:
 
 @query("SELECT * FROM partial0")
 def ref_j8_partial_matches(c: Cohort) -> DataFrame:
-    return match.partial_matches(c.hits)
+    return c.by_transcript(match.partial_matches(c.hits, "cid"))
 
 
 @query("SELECT * FROM partials")
 def ref_j9_u3_unclaimed(c: Cohort) -> DataFrame:
-    return c.partial
+    return c.kept(match.partial_matches(c.hits, "cid")).select("tx_idx", "pid")
 
 
 @query("SELECT * FROM chains")
 def ref_j10_chains(c: Cohort) -> DataFrame:
-    return c.chains
+    return c.kept(match.run_matches(c.chains, c.pnir, 10)).select("tx_idx", "pid", "first", "n_sj")
 
 
 @query('SELECT tx_idx, pid, "full" FROM mono WHERE "full" OR inside')
@@ -166,12 +166,14 @@ def ref_j11_j12_mono_matches(c: Cohort) -> DataFrame:
 
 @query("SELECT tx_idx, f.pid, chrom, total_evidence, junctions FROM fsm f JOIN pnir USING (pid)")
 def ref_j13_records_of_matches(c: Cohort) -> DataFrame:
-    return c.fsm.join(c.pnir, "pid").select("tx_idx", "pid", "chrom", "total_evidence", junction_text(F.col("sj")).alias("junctions"))
+    return c.by_transcript(c.fsm.join(c.pnir, "pid")).select("tx_idx", "pid", "chrom", "total_evidence", junction_text(F.col("sj")).alias("junctions"))
 
 
 @query("SELECT tx_idx FROM (SELECT tx_idx, unnest(range(first, first + n_sj)) AS k FROM chains) JOIN tx USING (tx_idx) GROUP BY tx_idx HAVING count(DISTINCT k) = any_value(len(sj))")
 def ref_a20_covered(c: Cohort) -> DataFrame:
-    return match.covered(c.chains, c.tx)
+    runs, atoms = em.kept_runs(match.run_matches(c.chains, c.pnir, 10), c.fsm, c.kinds.filter("not is_mono"))
+    covered = em.coverage(runs, c.chains.select("cid", F.size("sj").alias("n_sj")))
+    return atoms.join(covered.select("cid", "covered"), "cid").filter("atom < covered").select("tx_idx")
 
 
 # ---- windows over intervals
@@ -179,11 +181,11 @@ def ref_a20_covered(c: Cohort) -> DataFrame:
 
 @query("SELECT tx_idx, chrom, group_id FROM grouped")
 def ref_w1_overlap_groups(c: Cohort) -> DataFrame:
-    return c.grouped.select("tx_idx", "chrom", "group_id")
+    return match.overlap_groups(c.tx).select("tx_idx", "chrom", "group_id")
 
 
 @query("""SELECT s.chrom, seg_start, seg_end, tx_idx FROM (SELECT chrom, p AS seg_start, lead(p) OVER (PARTITION BY chrom ORDER BY p) AS seg_end
-  FROM (SELECT DISTINCT chrom, unnest([start, "end"]) AS p FROM tx WHERE tx_idx % 10 = 0)) s JOIN tx ON tx.chrom = s.chrom AND start <= seg_start AND "end" >= seg_end AND tx_idx % 10 = 0""")
+  FROM (SELECT DISTINCT chrom, unnest([start, "end"]) AS p FROM tx)) s JOIN tx ON tx.chrom = s.chrom AND start <= seg_start AND "end" >= seg_end""")
 def ref_w2_elementary_segments(c: Cohort) -> DataFrame:
     return match.elementary_segments(c.tx, "chrom", "start", "end", "tx_idx")
 
@@ -215,8 +217,11 @@ fcpm AS (SELECT *, 1e6 * fsm / total AS cpm FROM fev JOIN (SELECT sample_id, sum
 
 
 def _full(c: Cohort, **windows) -> DataFrame:
-    pairs = c.fsm.unionByName(c.mono.filter("full").select("tx_idx", "pid"))
-    return match.full_evidence(pairs, c.shapes, c.tx, **windows)
+    kinds = c.kinds.dropDuplicates(["kid"]).drop("tx_idx")
+    _, full, _ = quantify.full_pairs(kinds, c.chains, c.pnir, c.site, 10)
+    kid = lambda df: df.withColumnRenamed("kid", "tx_idx")
+    counted = match.full_evidence(kid(full), c.shapes, kid(kinds), **windows).withColumnRenamed("tx_idx", "kid")
+    return c.kinds.select("tx_idx", "kid").join(counted, "kid").select("tx_idx", "sample_id", "fsm")
 
 
 @query(_FULL.format(tol=10) + "SELECT tx_idx, sample_id, fsm FROM fev")
@@ -259,18 +264,7 @@ def ref_a6_sample_summary(c: Cohort) -> DataFrame:
 
 
 def _cells(c: Cohort, opts: em.Settings = em.Settings()) -> DataFrame:
-    """Abundances, written once: totals and rows both read them."""
-    evidence = c.profile.select("pid", "sample_id", "evidence")
-    chains = durable(c.chains)
-    cls = em.classes(chains, c.grouped, evidence)
-    multi = em.abundances(cls, c.grouped, match.covered(chains, c.tx), opts)
-    mono = c.mono.filter("not full").join(evidence, "pid").groupBy("tx_idx", "sample_id").agg(F.sum("evidence").cast("double").alias("cov"))
-    return durable(stats.abundance_cells(_full(c), multi.unionByName(em.mono_abundances(mono, opts))))
-
-
-@query()
-def ref_a8_em(c: Cohort) -> DataFrame:
-    return _cells(c).filter("em > 0").select("tx_idx", "sample_id", "em")
+    return c.quantified(quantify.Options(em=opts)).cells
 
 
 _EM1 = """, ev AS (SELECT pid, sample_id, evidence FROM profile), ok AS (SELECT tx_idx FROM (SELECT tx_idx, unnest(range(first, first + n_sj)) AS k FROM chains) JOIN tx USING (tx_idx)
@@ -362,7 +356,8 @@ def ref_x3_fusion_breakpoints(c: Cohort) -> DataFrame:
 def ref_j15_x4_fusion_regions(c: Cohort) -> DataFrame:
     q = _fusion_queries(c)
     near = lambda n: [(F.col(f"pos{n}") - 3000).alias(f"s{n}"), (F.col(f"pos{n}") + 3000).alias(f"e{n}")]
-    return fusion.region_reads(q.select("id", "chr1", *near(1), "chr2", *near(2)), c.site, c.reads)
+    found = fusion.region_reads(q.select("id", "chr1", *near(1), "chr2", *near(2)), c.site, c.reads)
+    return found.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
 
 
 _CAND = """, cr AS (SELECT *, list_sort(flatten(list_transform(sj, lambda j: [j.d, j.a]))) AS main FROM reads WHERE supp_chrom IS NOT NULL),

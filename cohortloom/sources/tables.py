@@ -157,12 +157,21 @@ def long(df: DataFrame, keys: list[str], samples: list[str], cell: str = "cell")
     return df.unpivot(keys, samples, "sample", cell)
 
 
-def write_result_table(df: DataFrame, keys: list[str], samples: list[str], totals: dict[str, int], fmt: str, path: str, meta: list[str] = ()) -> None:
-    """A wide result as gzipped text: ##[SAMPLE] lines, ##[DBINFO], header with FORMAT, rows."""
+def write_result_table(df: DataFrame, keys: list[str], samples: list[str], totals: dict[str, int], fmt: str, path: str, meta: list[str] = (), order: str | None = None, labels: dict[str, str] | None = None) -> None:
+    """A wide result as gzipped text: ##[SAMPLE] lines, ##[DBINFO], header with FORMAT, rows in the given order (else by the keys).
+
+    Parts are written in parallel over ranges of the order; one after the other they are the file, as
+    gzipped texts may follow each other.
+    """
     spark = df.sparkSession
-    head = [f"##[SAMPLE]{m}" for m in meta] + ["##[DBINFO]" + ",".join(f"{s}:{totals.get(s, 0)}" for s in samples), "#" + "\t".join([*keys, "FORMAT", *samples])]
-    rows = df.select(F.concat_ws("\t", *keys, F.lit(fmt), *samples).alias("value"))
-    spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).unionByName(rows).coalesce(1).write.mode("overwrite").text(path, compression="gzip")
+    head = [f"##[SAMPLE]{m}" for m in meta] + ["##[DBINFO]" + ",".join(f"{s}:{totals.get(s, 0)}" for s in samples), "#" + "\t".join([*((labels or {}).get(k, k) for k in keys), "FORMAT", *samples])]
+    by = [order] if order else keys
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    rows = df.select(F.struct(F.lit(1).alias("_row"), F.lit(0).alias("_line"), *by).alias("_at"), F.concat_ws("\t", *map(text, keys), F.lit(fmt), *map(text, samples)).alias("value"))
+    lines = spark.createDataFrame(list(enumerate(head)), "_line int, value string")
+    none = [F.lit(None).cast(dict(df.dtypes)[c]).alias(c) for c in by]
+    lines = lines.select(F.struct(F.lit(0).alias("_row"), "_line", *none).alias("_at"), "value")
+    lines.unionByName(rows).repartitionByRange("_at").sortWithinPartitions("_at").select("value").write.mode("overwrite").text(path, compression="gzip")
 
 
 def read_result_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int], list[str], list[str]]:
