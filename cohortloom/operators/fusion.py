@@ -105,6 +105,11 @@ def clusters(cand: DataFrame, pairs: DataFrame, require_both: bool = True) -> Da
     agree = F.coalesce(over("ab_main", "ba_supp") & over("ab_supp", "ba_main"), F.lit(False))
     one_way = F.col("ab_main_lo").isNull() | F.col("ba_main_lo").isNull()
     ends = ends.withColumn("two_strand", ~one_way).filter(agree if require_both else agree | one_way)
-    per = cand.select("cand", "sample_id", "n").join(pairs.select("cand", "gene_a", "gene_b"), "cand").groupBy("gene_a", "gene_b", "sample_id").agg(F.sum("n").alias("n"))
+    per = cluster_samples(cand, pairs)
     total = per.groupBy("gene_a", "gene_b").agg(F.sum("n").alias("total_evidence"), F.count("*").alias("total_samples"))
     return ends.join(total, ["gene_a", "gene_b"])
+
+
+def cluster_samples(cand: DataFrame, pairs: DataFrame) -> DataFrame:
+    """gene_a, gene_b, sample_id, n: the reads of each sample for each gene pair."""
+    return cand.select("cand", "sample_id", "n").join(pairs.select("cand", "gene_a", "gene_b"), "cand").groupBy("gene_a", "gene_b", "sample_id").agg(F.sum("n").alias("n"))

@@ -234,11 +234,6 @@ def ref_p13_narrow_windows(c: Cohort) -> DataFrame:
     return _full(c, tolerance=3)
 
 
-@query(_FULL.format(tol=10) + "SELECT sample_id, sum(fsm)::BIGINT AS fsm_total FROM fev GROUP BY sample_id")
-def ref_a5_query_totals(c: Cohort) -> DataFrame:
-    return _full(c).groupBy("sample_id").agg(F.sum("fsm").alias("fsm_total"))
-
-
 @query(_FULL.format(tol=10) + "SELECT tx_idx, sample_id, fsm, round(cpm, 6) AS cpm FROM fcpm")
 def ref_a11_full_cpm(c: Cohort) -> DataFrame:
     cells = stats.abundance_cells(_full(c), _no_em(c))
@@ -257,16 +252,39 @@ def ref_a10_w4_confidence(c: Cohort) -> DataFrame:
     return stats.confidence(full, "tx_idx", "fsm", "fsm_total", 8).withColumn("confidence", F.round("confidence", 4))
 
 
-@query(_FULL.format(tol=10) + "SELECT sample_id, count(*) AS n_fsm, round(count(*) * 100.0 / (SELECT count(*) FROM tx), 4) AS pct FROM fev WHERE fsm >= 1 GROUP BY sample_id")
-def ref_a6_sample_summary(c: Cohort) -> DataFrame:
-    cells = stats.abundance_cells(_full(c), _no_em(c))
-    return stats.sample_summary(cells, c.tx.count()).select("sample_id", "n_fsm", F.col("pct_any").alias("pct"))
-
-
 def _cells(c: Cohort, opts: em.Settings = em.Settings()) -> DataFrame:
     return c.quantified(quantify.Options(em=opts)).cells
 
 
+# the damped steps of a whole group, mono-exons too, until all of it has settled
+_EM = _FULL.format(tol=10) + """, ev AS (SELECT pid, sample_id, evidence FROM profile), ok AS (SELECT tx_idx FROM (SELECT tx_idx, unnest(range(first, first + n_sj)) AS k FROM chains) JOIN tx USING (tx_idx)
+  GROUP BY tx_idx HAVING count(DISTINCT k) = any_value(len(sj))),
+multi AS (SELECT c.tx_idx, g.chrom || ':' || group_id AS grp, g.chrom || ':' || group_id || ':' || pid AS cls, pid, 1.0::DOUBLE / (len(g.sj) + 2) AS w FROM chains c JOIN grouped g USING (tx_idx) JOIN ok USING (tx_idx)),
+monos AS (SELECT tx_idx, g.chrom || ':' || group_id AS grp, 'mono' || tx_idx AS cls, sample_id, sum(evidence)::DOUBLE AS cov FROM mono m JOIN grouped g USING (tx_idx) JOIN ev USING (pid) WHERE inside AND NOT "full" GROUP BY ALL),
+em_in AS MATERIALIZED (SELECT tx_idx, grp, cls, sample_id, evidence::DOUBLE AS cov, w FROM multi JOIN ev USING (pid) UNION ALL SELECT tx_idx, grp, cls, sample_id, cov, 1.0::DOUBLE FROM monos),
+steps AS (SELECT DISTINCT 0 AS it, grp, tx_idx, sample_id, 0.1::DOUBLE AS a, false AS done FROM em_in
+  UNION ALL SELECT it, grp, tx_idx, sample_id, na, max(abs(na - a) / CASE WHEN abs(a) < 1e-6 THEN 1 ELSE abs(a) END) OVER (PARTITION BY grp) <= 0.01 FROM (
+    SELECT x.it + 1 AS it, grp, tx_idx, sample_id, a, 0.7::DOUBLE * a + 0.3::DOUBLE * sum(cov * a * w / total) AS na FROM (
+      SELECT s.it, s.grp, s.tx_idx, s.sample_id, s.a, e.cov, e.w, sum(s.a * e.w) OVER (PARTITION BY e.cls, s.sample_id) AS total
+      FROM steps s JOIN em_in e ON e.tx_idx = s.tx_idx AND e.sample_id = s.sample_id WHERE NOT s.done AND s.it < 100) x GROUP BY x.it, grp, tx_idx, sample_id, a)),
+em AS (SELECT tx_idx, sample_id, a AS em FROM (SELECT *, max(it) OVER (PARTITION BY grp) AS last FROM steps) WHERE it = last),
+cell AS (SELECT tx_idx, sample_id, coalesce(fsm, 0) AS fsm, coalesce(em, 0) AS em, CASE WHEN em >= 1e-4 THEN em ELSE 0 END AS shown FROM fev FULL JOIN em USING (tx_idx, sample_id)),
+tot AS (SELECT sample_id, sum(fsm)::BIGINT AS fsm_total, sum(em) AS em_total, sum(fsm + em) AS all_total FROM cell GROUP BY sample_id)
+"""
+
+
+def _recursive(sql: str) -> str:
+    return BASE.replace("WITH", "WITH RECURSIVE", 1) + sql
+
+
+@query()
+def ref_a8_em(c: Cohort) -> DataFrame:
+    return _cells(c).filter("em > 0").select("tx_idx", "sample_id", F.round("em", 4).alias("em"))
+
+
+SQL["ref_a8_em"] = _recursive(_EM + "SELECT tx_idx, sample_id, round(em, 4) AS em FROM em WHERE em > 0")
+
+
 _EM1 = """, ev AS (SELECT pid, sample_id, evidence FROM profile), ok AS (SELECT tx_idx FROM (SELECT tx_idx, unnest(range(first, first + n_sj)) AS k FROM chains) JOIN tx USING (tx_idx)
   GROUP BY tx_idx HAVING count(DISTINCT k) = any_value(len(sj))),
 m AS (SELECT c.tx_idx, g.chrom, group_id, pid, 1.0 / (len(g.sj) + 2) AS w FROM chains c JOIN grouped g USING (tx_idx) JOIN ok USING (tx_idx)),
@@ -287,19 +305,71 @@ def ref_a9_mono_classes(c: Cohort) -> DataFrame:
     return df.agg(F.sum("evidence").alias("cov"), F.count("*").alias("n_records"), F.expr("sum(span) div count(*)").alias("effective_length"))
 
 
+@query()
+def ref_a5_query_totals(c: Cohort) -> DataFrame:
+    return stats.query_totals(_cells(c)).select("sample_id", "fsm_total", F.round("em_total", 3).alias("em_total"), F.round("all_total", 3).alias("all_total"))
+
+
+SQL["ref_a5_query_totals"] = _recursive(_EM + "SELECT sample_id, fsm_total, round(em_total, 3) AS em_total, round(all_total, 3) AS all_total FROM tot")
+
+
+@query()
+def ref_a6_sample_summary(c: Cohort) -> DataFrame:
+    return stats.sample_summary(_cells(c), c.tx.count())
+
+
+SQL["ref_a6_sample_summary"] = _recursive(_EM + """SELECT sample_id, count(*) FILTER (fsm >= 1) AS n_fsm, count(*) FILTER (em >= 1) AS n_em, count(*) FILTER (fsm >= 1 OR em >= 1) AS n_any,
+  round(count(*) FILTER (fsm >= 1 OR em >= 1) * 100.0 / (SELECT count(*) FROM tx), 4) AS pct_any FROM cell GROUP BY sample_id""")
+
+
+@query()
+def ref_p14_positives(c: Cohort) -> DataFrame:
+    return stats.positives(_cells(c), 2)
+
+
+SQL["ref_p14_positives"] = _recursive(_EM + "SELECT tx_idx, count(*) FILTER (fsm + em >= 2) AS n_all, count(*) FILTER (fsm >= 2) AS n_fsm, count(*) FILTER (em >= 2) AS n_em FROM cell GROUP BY tx_idx")
+
+
+@query()
+def ref_p19_gated_em(c: Cohort) -> DataFrame:
+    cells = c.quantified(quantify.Options(min_em_abundance=2.0)).cells
+    return cells.filter("em > 0 and em_shown = 0").select("tx_idx", "sample_id", F.round("em", 4).alias("em"))
+
+
+SQL["ref_p19_gated_em"] = _recursive(_EM + "SELECT tx_idx, sample_id, round(em, 4) AS em FROM em WHERE em < 2")
+
+
+def _isoform_columns(rows: DataFrame, *more: str) -> DataFrame:
+    rounded = [F.round(x, 3).alias(x) for x in ("confidence", "em_shown", "all_cpm", "fsm_cpm", "em_cpm")]
+    return rows.select("chrom", "start", "end", "length", "exon_count", "trans_id", "gene_id", "min_read", "detected", "n_pos_samples", *more, "sample_id", "fsm", *rounded)
+
+
 @query()
 def ref_x2_isoform_rows(c: Cohort) -> DataFrame:
-    return stats.isoform_rows(c.tx, _cells(c), 8)
+    return _isoform_columns(stats.isoform_rows(c.tx, _cells(c), 8, 2))
+
+
+_ROWS = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY tx_idx ORDER BY fsm + em DESC) AS i FROM cell JOIN tot USING (sample_id)),
+heads AS (SELECT tx_idx, count(*) FILTER (fsm + em > 0) / 8.0 * exp(avg(CASE WHEN fsm + em > 0 THEN ln(1e6 * (fsm + em) / all_total) END)) * (1 - (2.0 * sum(i * (fsm + em)) / (8 * sum(fsm + em)) - 9.0 / 8)) AS confidence,
+  count(*) FILTER (fsm + em >= 2) AS n_all, count(*) FILTER (fsm >= 2) AS n_fsm, count(*) FILTER (em >= 2) AS n_em FROM ranked GROUP BY tx_idx),
+isoform AS (SELECT chrom, start, "end", list_sum(list_transform(exons, lambda x: x.e - x.s))::BIGINT AS length, n_exon::INT AS exon_count, tx_id AS trans_id, gene_id, 2::INT AS min_read,
+  CASE WHEN n_all > 0 THEN 'yes' ELSE 'no' END || ':' || CASE WHEN n_fsm > 0 THEN 'yes' ELSE 'no' END || ':' || CASE WHEN n_em > 0 THEN 'yes' ELSE 'no' END AS detected,
+  coalesce(n_all, 0) || ':' || coalesce(n_fsm, 0) || ':' || coalesce(n_em, 0) || '/8' AS n_pos_samples, sample_id, fsm, round(coalesce(confidence, 0), 3) AS confidence, round(shown, 3) AS em_shown,
+  round(1e6 * (fsm + shown) / all_total, 3) AS all_cpm, round(1e6 * fsm / all_total, 3) AS fsm_cpm, round(1e6 * shown / all_total, 3) AS em_cpm
+  FROM tx LEFT JOIN heads USING (tx_idx) LEFT JOIN (SELECT * FROM cell JOIN tot USING (sample_id)) USING (tx_idx))
+"""
+SQL["ref_x2_isoform_rows"] = _recursive(_EM + _ROWS + "SELECT * FROM isoform")
 
 
 # ---- splice
 
 
 def _splice_queries(c: Cohort) -> DataFrame:
-    return c.tx.filter("not is_mono").select("chrom", F.col("sj")[0]["d"].alias("left"), F.col("sj")[0]["a"].alias("right")).distinct().select(F.concat_ws(":", "chrom", "left", "right").alias("id"), "chrom", "right", "left")
+    """Every junction of every transcript, each once."""
+    return c.chains.select("chrom", F.explode("sj").alias("j")).select("chrom", F.col("j.d").alias("left"), F.col("j.a").alias("right")).distinct().select(F.concat_ws(":", "chrom", "left", "right").alias("id"), "chrom", "right", "left")
 
 
-_SPLICE = """, q AS (SELECT DISTINCT chrom || ':' || sj[1].d || ':' || sj[1].a AS id, chrom, sj[1].d AS l, sj[1].a AS r FROM tx WHERE NOT is_mono),
+_SPLICE = """, q AS (SELECT DISTINCT chrom || ':' || j.d || ':' || j.a AS id, chrom, j.d AS l, j.a AS r FROM txj),
 sq AS (SELECT id, q.chrom, l, r, p.*, list_filter(range(1, len(sj) + 1), lambda i: abs(sj[i].d - l) < 10 AND abs(sj[i].a - r) < 10)[1] AS k FROM q JOIN pnir p ON p.chrom = q.chrom),
 ends AS (SELECT pid, min("left") AS start_min, max("left") AS start_max, min("right") AS end_min, max("right") AS end_max FROM reads GROUP BY pid),
 rep AS (SELECT * FROM sq JOIN ends USING (pid) WHERE k IS NOT NULL)
@@ -378,10 +448,11 @@ def ref_a13_p21_fusion_candidates(c: Cohort) -> DataFrame:
     return fusion.candidates(c.pnir, c.reads).select("cand", "sample_id", "n")
 
 
-@query(_CAND + "SELECT cand, gene_id, n_match FROM bg WHERE side = 'm'")
+@query(_CAND + "SELECT cand, side, gene_id, n_match FROM bg")
 def ref_j16_j17_o5_best_gene(c: Cohort) -> DataFrame:
-    cand = fusion.candidates(c.pnir, c.reads).select("cand", F.col("main_chrom").alias("chrom"), F.col("main").alias("sites")).dropDuplicates(["cand"])
-    return fusion.best_gene(cand, "cand", c.gene).select("cand", "gene_id", "n_match")
+    cand = durable(fusion.candidates(c.pnir, c.reads).dropDuplicates(["cand"]))
+    side = lambda n: fusion.best_gene(cand.select("cand", F.col(f"{n}_chrom").alias("chrom"), F.col(n).alias("sites")), "cand", c.gene).select("cand", F.lit(n[0]).alias("side"), "gene_id", "n_match")
+    return side("main").unionByName(side("supp"))
 
 
 @query(_CAND + "SELECT cand, gene_a, gene_b, direction FROM pairs")
@@ -390,14 +461,21 @@ def ref_x1_a14_gene_pairs(c: Cohort) -> DataFrame:
     return fusion.gene_pairs(cand, c.gene).select("cand", "gene_a", "gene_b", "direction")
 
 
-@query(_CAND + """, e AS (SELECT gene_a, gene_b, avg(CASE WHEN direction = 'ab' THEN list_min(main) END) AS aml, avg(CASE WHEN direction = 'ab' THEN list_max(main) END) AS amh,
-  avg(CASE WHEN direction = 'ab' THEN list_min(supp) END) AS asl, avg(CASE WHEN direction = 'ab' THEN list_max(supp) END) AS ash, avg(CASE WHEN direction = 'ba' THEN list_min(main) END) AS bml,
-  avg(CASE WHEN direction = 'ba' THEN list_max(main) END) AS bmh, avg(CASE WHEN direction = 'ba' THEN list_min(supp) END) AS bsl, avg(CASE WHEN direction = 'ba' THEN list_max(supp) END) AS bsh,
-  stddev_pop(CASE WHEN direction = 'ab' THEN list_min(main) END) AS sdv, count(*) AS n_candidates FROM pairs GROUP BY ALL),
+_ENDS = [(f"{d}_{s}_{e}", d, s, e) for d in ("ab", "ba") for s in ("main", "supp") for e in ("lo", "hi")]
+_OF = lambda d, s, e: f"CASE WHEN direction = '{d}' THEN list_{'min' if e == 'lo' else 'max'}({s}) END"
+
+
+@query(_CAND + ", e AS (SELECT gene_a, gene_b, " + ", ".join(f"avg({_OF(d, s, e)}) AS {n}, stddev_pop({_OF(d, s, e)}) AS {n}_sd" for n, d, s, e in _ENDS) + """, count(*) AS n_candidates FROM pairs GROUP BY ALL),
 pe AS (SELECT gene_a, gene_b, sum(n)::BIGINT AS total_evidence, count(DISTINCT sample_id) AS total_samples FROM pairs JOIN (SELECT cand, sample_id, n FROM cand) USING (cand) GROUP BY ALL)
-SELECT gene_a, gene_b, n_candidates, total_evidence, total_samples, round(aml, 4) AS ab_main_lo, round(bsh, 4) AS ba_supp_hi, round(sdv, 4) AS ab_main_lo_sd FROM e JOIN pe USING (gene_a, gene_b)
-WHERE aml <= bsh AND bsl <= amh AND asl <= bmh AND bml <= ash""")
+SELECT gene_a, gene_b, n_candidates, total_evidence, total_samples, """ + ", ".join(f"round({n}, 4) AS {n}, round({n}_sd, 4) AS {n}_sd" for n, *_ in _ENDS) + """ FROM e JOIN pe USING (gene_a, gene_b)
+WHERE ab_main_lo <= ba_supp_hi AND ba_supp_lo <= ab_main_hi AND ab_supp_lo <= ba_main_hi AND ba_main_lo <= ab_supp_hi""")
 def ref_a15_a16_x5_fusion_discovery(c: Cohort) -> DataFrame:
     cand = durable(fusion.candidates(c.pnir, c.reads))
     df = fusion.clusters(cand, durable(fusion.gene_pairs(cand, c.gene)))
-    return df.select("gene_a", "gene_b", "n_candidates", "total_evidence", "total_samples", *(F.round(x, 4).alias(x) for x in ("ab_main_lo", "ba_supp_hi", "ab_main_lo_sd")))
+    return df.select("gene_a", "gene_b", "n_candidates", "total_evidence", "total_samples", *(F.round(x, 4).alias(x) for n, *_ in _ENDS for x in (n, f"{n}_sd")))
+
+
+@query(_CAND + """SELECT gene_a, gene_b, sample_id, sum(n)::BIGINT AS n FROM pairs JOIN (SELECT cand, sample_id, n FROM cand) USING (cand) GROUP BY ALL""")
+def ref_a16_cluster_samples(c: Cohort) -> DataFrame:
+    cand = durable(fusion.candidates(c.pnir, c.reads))
+    return fusion.cluster_samples(cand, fusion.gene_pairs(cand, c.gene))
