@@ -102,3 +102,30 @@ def junctions_of(text: Column) -> Column:
 def junction_sites(sj: Column) -> Column:
     """Distinct donor and acceptor positions of a junction array."""
     return F.array_distinct(F.flatten(F.transform(sj, lambda j: F.array(j["d"], j["a"]))))
+
+
+def exons_of(left: Column, right: Column, sj: Column) -> Column:
+    """Exons of a read from its ends and junctions; a junction that is the read itself is a single exon."""
+    one = (F.size(sj) == 1) & (sj[0]["d"] == left) & (sj[0]["a"] == right)
+    starts = F.concat(F.array(left), F.transform(sj, lambda j: j["a"]))
+    ends = F.concat(F.transform(sj, lambda j: j["d"]), F.array(right))
+    whole = F.array(F.struct(left.alias("s"), right.alias("e")))
+    return F.when(one, whole).otherwise(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))))
+
+
+def span_text(spans: Column) -> Column:
+    """s-e,s-e of an array of s and e."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws("-", x["s"], x["e"])), ",")
+
+
+def named_value(attrs: Column, key: str) -> Column:
+    """Value of key in a text such as gene_id:G1;gene_name:N; the first one counts, '' if the key is missing."""
+    fields = F.transform(F.split(attrs, ";"), lambda x: F.trim(x))
+    return F.coalesce(F.get(F.transform(F.filter(fields, lambda x: x.startswith(f"{key}:")), lambda x: F.substring(x, F.lit(len(key) + 2), F.length(x))), F.lit(0)), F.lit(""))
+
+
+def cpm_and_count(cell: Column) -> Column:
+    """struct(cpm, count) of the first two parts of a cell; what is no number is 0, fractions of counts are cut."""
+    part = lambda i: F.get(F.split(cell, ":"), F.lit(i)).try_cast("double")
+    some = F.coalesce(cell.contains(":"), F.lit(False))
+    return F.struct(F.when(some, F.coalesce(part(0), F.lit(0.0))).otherwise(0.0).alias("cpm"), F.when(some, F.coalesce(part(1).try_cast("bigint"), F.lit(0))).otherwise(0).alias("count"))

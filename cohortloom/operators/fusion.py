@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.genome import exons_of, span_text
+from ..session import bounded_broadcast
 from .build import weight
 from .rangejoin import flank_join, interval_join, range_join
 
@@ -55,7 +57,22 @@ def region_reads(q: DataFrame, site: DataFrame, reads: DataFrame) -> DataFrame:
     inside = lambda p: (p >= F.col("m_lo")) & (p <= F.col("m_hi"))
     seg = F.get(F.filter("supp", lambda x: (x["chrom"] == F.col("m_chrom")) & (inside(x["s"]) | inside(x["e"]))), F.lit(0))
     df = df.withColumn("seg", seg).filter("seg is not null")
-    return df.select("id", "side", "sample_id", "pid", "left", "right", F.col("seg.chrom").alias("seg_chrom"), F.col("seg.s").alias("seg_s"), F.col("seg.e").alias("seg_e"), "n")
+    return df.select("id", "side", "sample_id", "pid", "left", "right", F.col("seg.chrom").alias("seg_chrom"), F.col("seg.s").alias("seg_s"), F.col("seg.e").alias("seg_e"), F.filter("supp", lambda x: x["chrom"] == F.col("m_chrom")).alias("supp"), "n")
+
+
+def region_rows(found: DataFrame, pnir: DataFrame, samples: DataFrame) -> DataFrame:
+    """What region_reads found as the columns of the detailed result, one row per read.
+
+    chr1, start1, end1 (the read), chr2, start2, end2 (its segments on the other side), main_exon_count1,
+    supp_segment_count2, query_part, main_isoforms and supp_aln_regions (s-e,s-e), sample_name.
+    samples: sample_id, name.
+    """
+    df = found.join(pnir.select("pid", F.col("chrom").alias("chr1"), "sj"), "pid").join(bounded_broadcast(samples.select("sample_id", F.col("name").alias("sample_name"))), "sample_id")
+    df = df.withColumn("main", exons_of(F.col("left"), F.col("right"), F.col("sj"))).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return df.select(
+        "id", "chr1", F.col("left").alias("start1"), F.col("right").alias("end1"), F.col("seg_chrom").alias("chr2"), F.array_min(F.transform("supp", lambda x: x["s"])).alias("start2"), F.array_max(F.transform("supp", lambda x: x["e"])).alias("end2"),
+        F.size("main").alias("main_exon_count1"), F.size("supp").alias("supp_segment_count2"), F.col("side").alias("query_part"), span_text(F.col("main")).alias("main_isoforms"), span_text(F.col("supp")).alias("supp_aln_regions"), "sample_name",
+    )
 
 
 def candidates(pnir: DataFrame, reads: DataFrame) -> DataFrame:

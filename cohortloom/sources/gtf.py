@@ -23,6 +23,18 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     return df.select(bare_chrom(g(0)).alias("chrom"), g(2).alias("feature"), (g(3).try_cast("bigint") - 1).alias("s"), g(4).try_cast("bigint").alias("e"), g(6).alias("strand"), g(8).alias("attrs"))
 
 
+def write_gtf(tx: DataFrame, genes: DataFrame, path: str) -> None:
+    """Genes, transcripts and their exons as GTF text, in parts by chromosome and place."""
+    line = lambda feature, s, e, strand, attrs: F.concat_ws("\t", F.concat(F.lit("chr"), "chrom"), F.lit("."), F.lit(feature), s + 1, e, F.lit("."), strand, F.lit("."), attrs)
+    of = lambda *pairs: F.concat(*(x for k, v in pairs for x in (F.lit(f'{k} "'), F.col(v), F.lit('"; '))))
+    ids = of(("gene_id", "gene_id"), ("transcript_id", "tx_id"))
+    at = lambda n, s, text: [F.struct("chrom", s.alias("s"), F.lit(n).alias("n")).alias("_at"), text.alias("value")]
+    g = genes.select(*at(0, F.col("start"), line("gene", F.col("start"), F.col("end"), F.lit("+"), of(("gene_id", "gene_id"), ("gene_name", "gene_name"), ("gene_type", "gene_type")))))
+    t = tx.select(*at(1, F.col("start"), line("transcript", F.col("start"), F.col("end"), F.col("strand"), ids)))
+    x = tx.select("chrom", "strand", "gene_id", "tx_id", F.explode("exons").alias("x")).select(*at(2, F.col("x.s"), line("exon", F.col("x.s"), F.col("x.e"), F.col("strand"), ids)))
+    g.unionByName(t).unionByName(x).repartitionByRange("_at").sortWithinPartitions("_at").select("value").write.mode("overwrite").text(path)
+
+
 def transcripts(gtf: DataFrame) -> DataFrame:
     """tx_id, gene_id, chrom, start, end, strand, exons, sj, is_mono, attrs; one shuffle, on the transcript's id."""
     df = gtf.filter(F.col("feature").isin("transcript", "exon")).withColumn("tx_id", attr(F.col("attrs"), "transcript_id"))

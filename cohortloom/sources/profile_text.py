@@ -21,24 +21,25 @@ HEADER = "signature\tevidence\tchrom\tsplice_junctions\tisoform_diffs"
 
 
 def _pairs(text: Column, a: str, b: str) -> Column:
-    return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: F.struct(F.split(x, "-")[0].cast("bigint").alias(a), F.split(x, "-")[1].cast("bigint").alias(b)))
+    return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: F.struct(F.split(x, "-")[0].try_cast("bigint").alias(a), F.split(x, "-")[1].try_cast("bigint").alias(b)))
 
 
 def parse(lines: DataFrame, value: str = "value") -> DataFrame:
     """sig, evidence, chrom, sj, reads of each record line; other columns stay."""
     f = F.split(value, "\t", -1)
-    df = lines.withColumn("_f", f).filter((F.size("_f") >= 5) & F.col("_f")[0].rlike(r"^[0-9]+$"))
+    # other lines are nulled first, as the planner may put what reads the fields before the filter
+    df = lines.withColumn("_f", F.when((F.size(f) >= 5) & F.get(f, F.lit(0)).rlike(r"^[0-9]+$"), f)).filter(F.col("_f").isNotNull())
 
     def read(x):
         p = F.split(x, ":", -1)
         ends = F.split(p[0], "-")
-        supp = F.transform(F.filter(F.split(p[2], ","), lambda s: s != ""), lambda s: F.struct(F.split(s, "%")[0].alias("chrom"), F.split(s, "%")[1].cast("bigint").alias("s"), F.split(s, "%")[2].cast("bigint").alias("e"), F.split(s, "%")[3].alias("strand")))
+        supp = F.transform(F.filter(F.split(p[2], ","), lambda s: s != ""), lambda s: F.struct(F.split(s, "%")[0].alias("chrom"), F.split(s, "%")[1].try_cast("bigint").alias("s"), F.split(s, "%")[2].try_cast("bigint").alias("e"), F.split(s, "%")[3].alias("strand")))
         info = F.transform(F.filter(F.split(F.coalesce(F.get(p, F.lit(3)), F.lit("")), ";"), lambda s: s != ""), lambda s: F.struct(F.split(s, "=", 2)[0].alias("k"), F.get(F.split(s, "=", 2), F.lit(1)).alias("v")))
-        return F.struct(ends[0].cast("bigint").alias("left"), ends[1].cast("bigint").alias("right"), p[1].alias("strand"), supp.alias("supp"), info.alias("info"))
+        return F.struct(ends[0].try_cast("bigint").alias("left"), ends[1].try_cast("bigint").alias("right"), p[1].alias("strand"), supp.alias("supp"), info.alias("info"))
 
     g = lambda i: F.col("_f")[i]
     keep = [c for c in lines.columns if c != value]
-    return df.select(*keep, g(0).cast("decimal(20,0)").alias("sig"), g(1).cast("bigint").alias("evidence"), g(2).alias("chrom"), _pairs(g(3), "d", "a").alias("sj"), F.transform(F.filter(F.split(g(4), r"\|"), lambda x: x != ""), read).alias("reads"))
+    return df.select(*keep, g(0).try_cast("decimal(20,0)").alias("sig"), g(1).try_cast("bigint").alias("evidence"), g(2).alias("chrom"), _pairs(g(3), "d", "a").alias("sj"), F.transform(F.filter(F.split(g(4), r"\|"), lambda x: x != ""), read).alias("reads"))
 
 
 def read_profiles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -65,7 +66,7 @@ def records_of(reads: DataFrame) -> DataFrame:
     one = F.array_repeat(F.struct("left", "right", "strand", "supp", info.alias("info")), n)
     df = reads.groupBy("chrom", "junctions").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("reads"))
     sig = F.xxhash64("chrom", "junctions").cast("decimal(20,0)")
-    sig = F.when(sig < 0, sig + F.lit(1 << 64).cast("decimal(21,0)")).otherwise(sig).cast("decimal(20,0)")
+    sig = F.when(sig < 0, sig + F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(sig).cast("decimal(20,0)")
     return df.select(sig.alias("sig"), F.size("reads").cast("bigint").alias("evidence"), "chrom", junctions_of(F.col("junctions")).alias("sj"), "reads")
 
 

@@ -45,6 +45,38 @@ def duplicate_samples(meta: DataFrame, name: str = "name") -> DataFrame:
     return meta.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def missing_paths(meta: DataFrame, path: str = "path") -> list[str]:
+    """Paths of samples at which there is nothing; one look a sample."""
+    spark = meta.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return [p for (p,) in meta.select(path).distinct().orderBy(path).collect() if p is None or not at(p).getFileSystem(conf).exists(at(p))]
+
+
+def validate_meta(meta: DataFrame) -> DataFrame:
+    """The metadata without the path; ValueError if a name is listed twice or a path leads nowhere."""
+    if twice := [r["name"] for r in duplicate_samples(meta).orderBy("name").collect()]:
+        raise ValueError(f"samples listed more than once: {twice}")
+    if gone := missing_paths(meta):
+        raise ValueError(f"paths that do not exist: {gone}")
+    return meta.drop("path")
+
+
+def write_meta(meta: DataFrame, path: str) -> None:
+    """Metadata (name, path, attrs) as a tab-separated table with a header; attributes that a sample lacks are NA."""
+    keys = sorted(r[0] for r in meta.select(F.explode(F.map_keys("attrs"))).distinct().collect())
+    rows = meta.select("name", "path", *(F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit("NA")).alias(k) for k in keys))
+    write_lines(rows, ["\t".join(["Sample", "Path", *keys])], F.concat_ws("\t", *(F.col(f"`{c}`") for c in rows.columns)), ["name"], path, "none")
+
+
+def write_lines(df: DataFrame, head: list[str], line: Column, order: list[str], path: str, compression: str = "gzip") -> None:
+    """Text in parts over ranges of the order, the head first; one after the other the parts are the file."""
+    rows = df.select(F.struct(F.lit(1).alias("_row"), F.lit(0).alias("_line"), *order).alias("_at"), line.alias("value"))
+    none = [F.lit(None).cast(dict(df.dtypes)[c]).alias(c) for c in order]
+    lines = df.sparkSession.createDataFrame(list(enumerate(head)), "_line int, value string").select(F.struct(F.lit(0).alias("_row"), "_line", *none).alias("_at"), "value")
+    lines.unionByName(rows).repartitionByRange("_at").sortWithinPartitions("_at").select("value").write.mode("overwrite").text(path, compression=compression)
+
+
 def merge_meta(a: DataFrame, b: DataFrame, fill: str = "NA") -> DataFrame:
     """Rows of both with the columns of both; what one side lacks is `fill`."""
     return a.unionByName(b, allowMissingColumns=True).fillna(fill)
@@ -163,15 +195,9 @@ def write_result_table(df: DataFrame, keys: list[str], samples: list[str], total
     Parts are written in parallel over ranges of the order; one after the other they are the file, as
     gzipped texts may follow each other.
     """
-    spark = df.sparkSession
     head = [f"##[SAMPLE]{m}" for m in meta] + ["##[DBINFO]" + ",".join(f"{s}:{totals.get(s, 0)}" for s in samples), "#" + "\t".join([*((labels or {}).get(k, k) for k in keys), "FORMAT", *samples])]
-    by = [order] if order else keys
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = df.select(F.struct(F.lit(1).alias("_row"), F.lit(0).alias("_line"), *by).alias("_at"), F.concat_ws("\t", *map(text, keys), F.lit(fmt), *map(text, samples)).alias("value"))
-    lines = spark.createDataFrame(list(enumerate(head)), "_line int, value string")
-    none = [F.lit(None).cast(dict(df.dtypes)[c]).alias(c) for c in by]
-    lines = lines.select(F.struct(F.lit(0).alias("_row"), "_line", *none).alias("_at"), "value")
-    lines.unionByName(rows).repartitionByRange("_at").sortWithinPartitions("_at").select("value").write.mode("overwrite").text(path, compression="gzip")
+    write_lines(df, head, F.concat_ws("\t", *map(text, keys), F.lit(fmt), *map(text, samples)), [order] if order else keys, path)
 
 
 def read_result_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int], list[str], list[str]]:
