@@ -68,10 +68,14 @@ class Encoder:
         self.pieces = Kept(self.piece)
         self.after_blank = Kept(lambda text: self.chunk(" " + text))
 
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Encoder:
+        return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())})
+
     @classmethod
     def from_file(cls, path: str) -> Encoder:
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+            return cls.from_bytes(f.read())
 
     def merge(self, part: bytes) -> list[int]:
         """Ids of one part by the segment tree."""
@@ -145,16 +149,28 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file; one per worker process, so caches outlive tasks."""
-    return Encoder.from_file(path)
+def encoder(raw: bytes) -> Encoder:
+    """The encoder of a vocabulary; one per worker process, so caches outlive tasks."""
+    return Encoder.from_bytes(raw)
+
+
+def shipped(documents: DataFrame, path: str | None):
+    """The vocabulary file, read on the driver and sent to the executors (0.8 MB for the default one), which need no copy.
+
+    Without a path it is the default file in the folder that spark.cohortloom.tokenizers names, or in TOKENIZERS.
+    """
+    spark = documents.sparkSession
+    path = path or f"{spark.conf.get('spark.cohortloom.tokenizers', TOKENIZERS)}/{VOCABULARY}"
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
-def encode_documents(documents: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
+def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids of each document. Narrow: no shuffle; Arrow batches in and flat lists out."""
+    vocabulary = shipped(documents, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(vocabulary.value)
         for batch in batches:
             flat: list[np.ndarray] = []
             ends = np.zeros(batch.num_rows + 1, dtype=np.int32)
@@ -168,11 +184,12 @@ def encode_documents(documents: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULAR
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def count_tokens(documents: DataFrame, columns: list[str], path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
+def count_tokens(documents: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
     """The named columns and n_tokens of each document's text (0 for null and empty texts)."""
+    vocabulary = shipped(documents, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(vocabulary.value)
         for batch in batches:
             n = [len(enc.encode(text.as_py())) for text in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*columns, "n_tokens"])

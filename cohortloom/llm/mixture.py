@@ -192,7 +192,7 @@ def route(patterns: list[tuple[str, tuple[str, ...], int, dict[str, int]]], quot
     return {k: f for k, a in arcs.items() if (f := net.flow(a)) > 0}
 
 
-def _sized(documents: DataFrame, targets: DataFrame, path: str) -> DataFrame:
+def _sized(documents: DataFrame, targets: DataFrame, path: str | None) -> DataFrame:
     """doc_id, source, text_key, n_tokens of the documents of targeted sources, each doc_id once, written once."""
     names = [r["source"] for r in targets.collect()]
     docs = documents.withColumn("source", plain_name(F.col("source"))).filter(F.col("source").isin(names) & (F.length("text") > 0))
@@ -218,7 +218,7 @@ class Plan:
     goal: dict[str, tuple[float, int]]
 
 
-def plan(documents: DataFrame, mix_target: DataFrame, path: str = f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}") -> Plan:
+def plan(documents: DataFrame, mix_target: DataFrame, path: str | None = None) -> Plan:
     """Tokenizes the documents once and routes tokens of patterns to sources."""
     targets = _targets(mix_target)
     goal = {r["source"]: (r["target_share"], r["max_repeat"]) for r in targets.collect()}
@@ -292,12 +292,12 @@ def report(p: Plan, mixture: DataFrame) -> DataFrame:
     return df.withColumn("actual_share", F.when(size > 0, F.round(F.col("actual_tokens") / size, 6)).otherwise(0.0))
 
 
-def mix(documents: DataFrame, mix_target: DataFrame, seed: int = 7, path: str = f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}") -> DataFrame:
+def mix(documents: DataFrame, mix_target: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
     """The mixture: doc_id, source, n_tokens, copies (how many times the document is used)."""
     return selected(plan(documents, mix_target, path), seed)
 
 
-def mix_report(documents: DataFrame, mix_target: DataFrame, seed: int = 7, path: str = f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}") -> DataFrame:
+def mix_report(documents: DataFrame, mix_target: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
     """The report on a mixture; use plan, selected and report to get both from one tokenization."""
     p = plan(documents, mix_target, path)
     return report(p, selected(p, seed))
