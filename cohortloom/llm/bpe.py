@@ -149,7 +149,13 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(raw: bytes) -> Encoder:
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary file."""
+    return Encoder.from_file(path)
+
+
+@lru_cache(maxsize=4)
+def shared_encoder(raw: bytes) -> Encoder:
     """The encoder of a vocabulary; one per worker process, so caches outlive tasks."""
     return Encoder.from_bytes(raw)
 
@@ -170,7 +176,7 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
     vocabulary = shipped(documents, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary.value)
+        enc = shared_encoder(vocabulary.value)
         for batch in batches:
             flat: list[np.ndarray] = []
             ends = np.zeros(batch.num_rows + 1, dtype=np.int32)
@@ -189,7 +195,7 @@ def count_tokens(documents: DataFrame, columns: list[str], path: str | None = No
     vocabulary = shipped(documents, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary.value)
+        enc = shared_encoder(vocabulary.value)
         for batch in batches:
             n = [len(enc.encode(text.as_py())) for text in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*columns, "n_tokens"])
