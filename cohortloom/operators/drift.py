@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, durable, from_nth, parallelism
+from ..session import durable, from_nth, parallelism
 from .lines import load_manifest, manifest_headers
 
 #: Spellings of a missing value.
@@ -64,7 +64,7 @@ def type_of(bits: Column) -> Column:
 
 def attribute_rows(manifest_raw: DataFrame, headers: DataFrame) -> DataFrame:
     """line_id, series, file_no, sample, path and attrs (name, value) of each valid line; columns from the third on."""
-    rows = load_manifest(manifest_raw, bounded_broadcast(headers))
+    rows = load_manifest(manifest_raw, headers)
     names, values = from_nth("names", 3), from_nth("values", 3)
     pairs = F.zip_with(names, values, lambda n, v: F.struct(n.alias("name"), v.alias("value")))
     attrs = F.filter(pairs, lambda x, i: (x["name"] != "") & (F.array_position(names, x["name"]) == i + 1))

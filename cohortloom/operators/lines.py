@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genome import bare_chrom
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, durable
 
 #: One field after its tab: quoted to the next quote that isn't doubled, or plain, or empty.
 FIELD = r'\t("[^"]*+(?:""[^"]*+)*+"(?=\t|\z)|[^"\t][^\t]*+|)'
@@ -139,18 +139,18 @@ def load_manifest(manifest_raw: DataFrame, headers: DataFrame | None = None) ->
     its file's header, the sample is not empty and the path is one of an .isoform.gz file. `values`
     holds all fields in the order of `names`.
     """
-    headers = bounded_broadcast(manifest_headers(manifest_raw)) if headers is None else headers
+    headers = durable(manifest_headers(manifest_raw)) if headers is None else headers
     return conforming_manifest(manifest_raw, headers).dropDuplicates(["line_id"])
 
 
 def remainder(records: DataFrame, loaded: DataFrame) -> DataFrame:
     """Records whose offset the strict load lacks, each offset once.
 
-    Offsets are subtracted from offsets, so no line is shuffled for it; the few that are left fetch
-    their lines again, by broadcast where they are shown to be few.
+    Offsets are subtracted from offsets, so no line is shuffled for it. Those that are left are written
+    and fetch their lines again; their table has a known size, so they are broadcast where it is small.
     """
     left = records.select("line_id").distinct().join(loaded.select("line_id").distinct(), "line_id", "left_anti")
-    left = bounded_broadcast(left.select(F.col("line_id").alias("_left")))
+    left = durable(left.select(F.col("line_id").alias("_left")))
     return records.join(left, F.col("line_id").eqNullSafe(F.col("_left")), "left_semi")
 
 
@@ -168,7 +168,7 @@ def failed_manifest(manifest_raw: DataFrame) -> DataFrame:
 
     A line of a file without a header has no column count to meet and fails by it.
     """
-    headers = bounded_broadcast(manifest_headers(manifest_raw))
+    headers = durable(manifest_headers(manifest_raw))
     rest = remainder(manifest_lines(manifest_raw), conforming_manifest(manifest_raw, headers))
     rest = rest.join(headers.select("series", "file_no", "n_cols"), ["series", "file_no"], "left")
     b = F.col("body")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, BROADCAST_ROWS, durable, parallelism
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, durable
 
 #: Separators and joiners of each kind of field; a blank among the separators stands for white space.
 STYLES = {
@@ -152,7 +152,7 @@ def unpack(df: DataFrame, row_id: str, field: str, separators: str, joiners: str
     df = df.select(F.col(row_id).alias("_id"), f.alias("_f")).filter(f.isNotNull() & ~f.rlike(rf"\A{WHITE}*+\z"))
     df = df.withColumn("skeleton", skeleton(F.col("_f"), separators, joiners))
     counts = durable(df.groupBy("skeleton").agg(F.count("*").alias("often")))
-    rules = durable(counts.repartition(parallelism(df.sparkSession)).mapInPandas(_rules(separators, joiners), f"skeleton string, often bigint, rule {RULE}"))
+    rules = durable(counts.mapInPandas(_rules(separators, joiners), f"skeleton string, often bigint, rule {RULE}"))
     total = rules.agg(F.sum("often").alias("n")).first()["n"] or 0
     df = with_rules(df.dropDuplicates(["_id"]), rules, total)
     df = df.withColumn("tokens", F.regexp_extract_all("_f", F.lit(token_pattern(separators, joiners)), 0)).select("_id", "tokens", F.explode("rule").alias("r"))
