@@ -27,6 +27,7 @@ are looked at whole, however long.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from collections.abc import Iterator
@@ -49,6 +50,8 @@ WIDE = ["gbk", "cp932", "big5", "cp949", "euc_jp"]
 #: A unit with the ASCII words beside it, and its core. It starts where a word does, so each word is scanned once.
 UNIT = r"(?<![0-9A-Za-z])[0-9A-Za-z]*+ ?+[^\x00-\x7F][0-9A-Za-z[^\x00-\x7F]]*+(?: [0-9A-Za-z]++(?![^\x00-\x7F]))?+"
 CORE = r"[0-9A-Za-z]*+[^\x00-\x7F][0-9A-Za-z[^\x00-\x7F]]*+"
+#: ASCII characters that no unit holds: all but letters, digits and the blank.
+BREAKS = r"[\x00-\x1F!-/:-@\[-`{-\x7F]"
 #: A core that says enough without the words beside it.
 STRONG = r"[A-Za-z].*[A-Za-z]|[^\x00-\x7F]{3}"
 #: The sign for what could not be decoded.
@@ -67,6 +70,7 @@ SUPPORT = 2
 #: scripts single characters are, so counts have at most 4400^2 + 0x110000 keys however large the corpus is.
 LOW, SYMBOLS = 0x530, (0x2000, 0x2C00)
 WIDTH = LOW + SYMBOLS[1] - SYMBOLS[0]
+SINGLE = WIDTH * WIDTH
 #: Counts are held in blocks of so many keys; blocks without a count are left out.
 BLOCK = 512
 #: Share of the evidence on a garbled sequence that its mapping must have.
@@ -78,15 +82,17 @@ MAX_MAPS = 200_000
 
 
 @lru_cache(maxsize=None)
-def _narrow(codec: str) -> dict[str, str]:
-    """Byte, as the character of that number, of each non-ASCII character of a one-byte encoding; bytes without one stand for themselves, as decoders leave them."""
-    out = {}
-    for b in range(128, 256):
+def _narrow(codec: str) -> tuple:
+    """Encoding map of a one-byte encoding, in which bytes without a character stand for themselves, as decoders leave them; and its non-ASCII characters."""
+    table = []
+    for b in range(256):
         try:
-            out[bytes([b]).decode(codec)] = chr(b)
+            table.append(bytes([b]).decode(codec) if b > 127 else chr(b))
         except UnicodeDecodeError:
-            out[chr(b)] = chr(b)
-    return out
+            table.append(chr(b))
+    own = set(table[128:])
+    # a byte that stands for itself gives way to the character that has its number elsewhere
+    return codecs.charmap_build("".join(table)), frozenset(own)
 
 
 def raw_bytes(text: str, decoded: str) -> list[bytes | str]:
@@ -96,15 +102,17 @@ def raw_bytes(text: str, decoded: str) -> list[bytes | str]:
             return [text.encode(decoded)]
         except UnicodeEncodeError:
             return [text]
-    table = _narrow(decoded)
-    out: list[list] = []
-    for c in text:
-        x = c if c < "\x80" else table.get(c)
-        kind = x is not None
-        if not out or out[-1][0] != kind:
-            out.append([kind, []])
-        out[-1][1].append(x if kind else c)
-    return ["".join(v).encode("latin_1") if kind else "".join(v) for kind, v in out]
+    table, out = _narrow(decoded)[0], []
+    while text:
+        try:
+            out.append(codecs.charmap_encode(text, "strict", table)[0])
+            break
+        except UnicodeEncodeError as e:
+            if e.start:
+                out.append(codecs.charmap_encode(text[: e.start], "strict", table)[0])
+            out.append(text[e.start : e.end])
+            text = text[e.end :]
+    return out
 
 
 def undo(parts: list[bytes | str], written: str, lossy: bool = False) -> str | None:
@@ -113,6 +121,12 @@ def undo(parts: list[bytes | str], written: str, lossy: bool = False) -> str | N
     A character cut off at the end of a part is left out. Lossy: bytes were dropped on the way; what
     is left of UTF-8 is decoded, with U+FFFD for the rest, if it is at least a seventh.
     """
+    if not lossy and written not in MULTI:
+        # one part that does not decode rules the whole out, as below, but without building it up
+        try:
+            return "".join([p if isinstance(p, str) else p.decode(written) for p in parts])
+        except UnicodeDecodeError:
+            return None
     out, changed = [], False
     for p in parts:
         if isinstance(p, bytes) and not p.isascii():
@@ -175,7 +189,7 @@ def features(text: str) -> list[int]:
     out, a = [], 32
     for b in map(PLACES.__getitem__, text + " "):
         if b < 0:
-            out.append(WIDTH * WIDTH - b)
+            out.append(SINGLE - b)
         elif a >= 0 and (a > 127 or b > 127):
             out.append(a * WIDTH + b)
         a = b
@@ -193,10 +207,10 @@ class Usage:
         for b, i, j in zip(blocks.tolist(), first, np.r_[first[1:], len(keys)]):
             block = self.blocks[b] = np.zeros(BLOCK, dtype=np.float32)
             block[keys[i:j] % BLOCK] = counts[i:j]
-        single = keys >= WIDTH * WIDTH
+        single = keys >= SINGLE
         paired = keys[~single]
         places = np.unique(np.r_[paired // WIDTH, paired % WIDTH]).tolist()
-        self.known = {chr(p if p < LOW else p - LOW + SYMBOLS[0]) for p in places} | {chr(c) for c in (keys[single] - WIDTH * WIDTH).tolist()}
+        self.known = {chr(p if p < LOW else p - LOW + SYMBOLS[0]) for p in places} | {chr(c) for c in (keys[single] - SINGLE).tolist()}
         self.start()
 
     def start(self) -> None:
@@ -204,8 +218,17 @@ class Usage:
 
     def usual(self, text: str, own: bool = False) -> float:
         """Mean log count of the features; own: of a unit of the corpus, without the document that it is from."""
-        f = features(text)
-        return sum(map((self.others if own else self.all).__getitem__, f)) / len(f) if f else 0.0
+        logs, total, k, a = self.others if own else self.all, 0.0, 0, 32
+        for b in map(PLACES.__getitem__, text + " "):
+            # the features, one by one
+            if b < 0:
+                total += logs[SINGLE - b]
+                k += 1
+            elif a >= 0 and (a > 127 or b > 127):
+                total += logs[a * WIDTH + b]
+                k += 1
+            a = b
+        return total / k if k else 0.0
 
     def __getstate__(self) -> tuple:
         return self.blocks, self.known
@@ -231,9 +254,11 @@ class Logs(dict):
 
 def doc_units(documents: DataFrame) -> DataFrame:
     """doc_id and the distinct units of its text. Written once, as texts are read once; several stages use it."""
-    df = documents.select("doc_id", "text").filter(F.col("text").rlike(r"[^\x00-\x7F]"))
-    found = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(UNIT), 0)), normal))
-    return durable(df.select("doc_id", found.alias("units")))
+    df = documents.select("doc_id", "text").filter(F.octet_length("text") != F.length("text"))
+    # no unit holds a character of BREAKS: the pattern is run on the pieces between them that hold non-ASCII characters
+    pieces = F.filter(F.split("text", BREAKS), lambda x: F.octet_length(x) != F.length(x))
+    found = F.regexp_extract_all(F.array_join(pieces, "\n"), F.lit(UNIT), 0)
+    return durable(df.select("doc_id", F.array_distinct(F.transform(F.array_distinct(found), normal)).alias("units")))
 
 
 def normal(found: Column) -> Column:
@@ -349,23 +374,31 @@ def _aligned_support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(sorted(out), columns=["decoded", "written", "case"])
 
 
-def restored_forms(unit: str, by_decoded: dict[str, list[str]], known: set[str], again: bool) -> list[tuple[str, str, str]]:
-    """(restored, decoded, written) of a unit.
+#: Characters that a restored text may hold without their being in the corpus.
+ALWAYS = frozenset(map(chr, range(128))) | {"\ufffd"}
+
+
+def restored_forms(unit: str, by_decoded: dict[str, list[str]], known: set[str], again: bool, seen: set[str] | None = None) -> list[tuple[str, str, str]]:
+    """(restored, decoded, written) of a unit; forms that were seen before are left out, and what is tried is added to them.
 
     Again: what was UTF-8 may have been garbled before; each such round makes the text shorter, so
     they end by themselves. Other encodings are tried in the first round only.
     """
-    out, seen, front, first = [], {unit}, [unit], True
+    if not known >= ALWAYS:
+        known = known | ALWAYS
+    seen = set() if seen is None else seen
+    seen.add(unit)
+    out, front, first = [], [unit], True
     while front:
         new = []
         for text in front:
             marks, tried = {c for c in text if c >= "\x80"}, set()
             for d, written in by_decoded.items():
-                if marks.isdisjoint(_narrow(d)) if d not in WIDE else len(marks) > 1 and not any("\u2e80" <= c for c in marks):
+                if marks.isdisjoint(_narrow(d)[1]) if d not in WIDE else len(marks) > 1 and not any("\u2e80" <= c for c in marks):
                     continue
                 parts = raw_bytes(text, d)
                 key = tuple(parts)
-                if not any(isinstance(p, bytes) and not p.isascii() for p in parts):
+                if all(isinstance(p, str) or p.isascii() for p in parts):
                     continue
                 for w in written:
                     if not first and w != "utf_8" or (key, w) in tried:
@@ -379,23 +412,26 @@ def restored_forms(unit: str, by_decoded: dict[str, list[str]], known: set[str],
                     seen.add(v)
                     if again and w == "utf_8" and not v.isascii():
                         new.append(v)
-                    if known.issuperset(c for c in v if c >= "\xa0" and c != "\ufffd") and not any("\x80" <= c < "\xa0" for c in v):
+                    if known.issuperset(v):
                         out.append((v, d, w))
         front, first = new, False
     return out
 
 
-def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[str, str]], maps: dict[str, str], again: bool) -> DataFrame:
-    """unit, n, decoded, written, restored, gain: what mappings and transformations make of each unit, where it reads no worse."""
+def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[str, str]], maps: dict[str, str], again: bool, explained: set[tuple[str, str]] = frozenset()) -> DataFrame:
+    """unit, n, decoded, written, restored, gain: what mappings and transformations make of each unit, where it reads no worse.
+
+    What the transformations in `explained` make of it is left out.
+    """
     shared = counts if isinstance(counts, Broadcast) else units.sparkSession.sparkContext.broadcast(counts)
-    by: dict[str, list[str]] = {}
+    by, other = {}, {}
     for d, w in allowed:
-        by.setdefault(d, []).append(w)
+        (other if (d, w) in explained else by).setdefault(d, []).append(w)
     longest = max(map(len, maps), default=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use = shared.value
-        known = {c for c in use.known if c >= "\xa0"}
+        known = {c for c in use.known if c >= "\xa0"} | ALWAYS
         for df in batches:
             out = []
             for u, n in zip(df["unit"], df["n"]):
@@ -406,7 +442,10 @@ def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[
                         base = use.usual(u, True)
                         if (g := use.usual(v) - base) > 0:
                             out.append((u, n, "aligned", "", v, g))
-                if forms := restored_forms(u, by, known, again):
+                seen: set[str] = set()
+                if other:
+                    restored_forms(u, other, known, again, seen)
+                if forms := restored_forms(u, by, known, again, seen):
                     base = use.usual(u, True) if base is None else base
                     out += [(u, n, d, w, v, g) for v, d, w in forms if (g := use.usual(v.replace("\ufffd", "")) - base) > 0]
             yield pd.DataFrame(out, columns=["unit", "n", "decoded", "written", "restored", "gain"])
@@ -417,13 +456,17 @@ def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[
 def learn(units: DataFrame, counts: Usage | Broadcast, pairs: DataFrame | None = None) -> list[tuple[str, str]]:
     """Transformations with SUPPORT, by aligned twins or, for units without ASCII letters, by restored twins; at most 368."""
     pairs = twins(units).select("unit", "twin") if pairs is None else pairs
-    by_twin = pairs.mapInPandas(_aligned_support, "decoded string, written string, case string")
+    by_twin = pairs.mapInPandas(_aligned_support, "decoded string, written string, case string").groupBy("decoded", "written").agg(F.countDistinct("case").alias("n"))
+    shown = {(r["decoded"], r["written"]): r["n"] for r in by_twin.collect()}
+    sure = {t for t, n in shown.items() if n >= SUPPORT}
     other = units.filter(~F.col("unit").rlike("[A-Za-z].*[A-Za-z]"))
-    tried = candidates(other, counts, transformations(), {}, False).filter(F.col("gain") >= GAIN / 2)
+    tried = candidates(other, counts, transformations(), {}, False, sure).filter(F.col("gain") >= GAIN / 2)
     known = units.select(F.col("unit").alias("restored"), F.col("n").alias("n_restored"))
     by_form = tried.join(known, "restored").filter(F.col("n_restored") > F.col("n")).select("decoded", "written", F.col("unit").alias("case"))
-    both = by_twin.unionByName(by_form).groupBy("decoded", "written").agg(F.countDistinct("case").alias("n")).filter(F.col("n") >= SUPPORT)
-    return sorted((r["decoded"], r["written"]) for r in both.collect())
+    for r in by_form.groupBy("decoded", "written").agg(F.countDistinct("case").alias("n")).collect():
+        t = r["decoded"], r["written"]
+        shown[t] = shown.get(t, 0) + r["n"]
+    return sorted(t for t, n in shown.items() if n >= SUPPORT)
 
 
 def _dropped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
