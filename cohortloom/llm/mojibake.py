@@ -215,19 +215,27 @@ class Usage:
 
     def start(self) -> None:
         self.all, self.others = Logs(self.blocks, 0), Logs(self.blocks, 1)
+        self.top = max((math.log(float(b.max()) + 0.5) for b in self.blocks.values()), default=0.0)
 
-    def usual(self, text: str, own: bool = False) -> float:
-        """Mean log count of the features; own: of a unit of the corpus, without the document that it is from."""
+    def usual(self, text: str, own: bool = False, least: float | None = None) -> float | None:
+        """Mean log count of the features; own: of a unit of the corpus, without the document that it is from.
+
+        With `least`, None as soon as the rest of the text cannot bring the mean above it, however usual.
+        """
         logs, total, k, a = self.others if own else self.all, 0.0, 0, 32
-        for b in map(PLACES.__getitem__, text + " "):
+        places = [*map(PLACES.__getitem__, text), 32]
+        for i in range(0, len(places), 16):
             # the features, one by one
-            if b < 0:
-                total += logs[SINGLE - b]
-                k += 1
-            elif a >= 0 and (a > 127 or b > 127):
-                total += logs[a * WIDTH + b]
-                k += 1
-            a = b
+            for b in places[i : i + 16]:
+                if b < 0:
+                    total += logs[SINGLE - b]
+                    k += 1
+                elif a >= 0 and (a > 127 or b > 127):
+                    total += logs[a * WIDTH + b]
+                    k += 1
+                a = b
+            if least is not None and (left := len(places) - i - 16) > 0 and total + left * self.top <= least * (k + left):
+                return None
         return total / k if k else 0.0
 
     def __getstate__(self) -> tuple:
@@ -257,15 +265,15 @@ def doc_units(documents: DataFrame) -> DataFrame:
     df = documents.select("doc_id", "text").filter(F.octet_length("text") != F.length("text"))
     # no unit holds a character of BREAKS: the pattern is run on the pieces between them that hold non-ASCII characters
     pieces = F.filter(F.split("text", BREAKS), lambda x: F.octet_length(x) != F.length(x))
-    found = F.regexp_extract_all(F.array_join(pieces, "\n"), F.lit(UNIT), 0)
-    return durable(df.select("doc_id", F.array_distinct(F.transform(F.array_distinct(found), normal)).alias("units")))
+    text = F.regexp_replace(F.array_join(pieces, "\n"), "[0-9]++", "0")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(UNIT), 0))
+    return durable(df.select("doc_id", F.array_distinct(F.transform(found, normal)).alias("units")))
 
 
 def normal(found: Column) -> Column:
-    """The unit: its core if that has letters enough, else the core with the words beside it; digits made 0."""
+    """The unit: its core without digits at its ends if that has letters enough, else the core with the words beside it; digits are 0 by now."""
     core = F.regexp_extract(found, CORE, 0)
-    strong = core.rlike(STRONG)
-    return F.regexp_replace(F.when(strong, F.regexp_replace(core, r"^[0-9]++|[0-9]++$", "")).otherwise(found), r"[0-9]++", "0")
+    return F.when(core.rlike(STRONG), F.btrim(core, F.lit("0"))).otherwise(found)
 
 
 def corpus_units(by_doc: DataFrame) -> DataFrame:
@@ -418,8 +426,8 @@ def restored_forms(unit: str, by_decoded: dict[str, list[str]], known: set[str],
     return out
 
 
-def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[str, str]], maps: dict[str, str], again: bool, explained: set[tuple[str, str]] = frozenset()) -> DataFrame:
-    """unit, n, decoded, written, restored, gain: what mappings and transformations make of each unit, where it reads no worse.
+def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[str, str]], maps: dict[str, str], again: bool, explained: set[tuple[str, str]] = frozenset(), least: float = 0.0) -> DataFrame:
+    """unit, n, decoded, written, restored, gain: what mappings and transformations make of each unit, where it gains more than `least`.
 
     What the transformations in `explained` make of it is left out.
     """
@@ -447,10 +455,13 @@ def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[
                     restored_forms(u, other, known, again, seen)
                 if forms := restored_forms(u, by, known, again, seen):
                     base = use.usual(u, True) if base is None else base
-                    out += [(u, n, d, w, v, g) for v, d, w in forms if (g := use.usual(v.replace("\ufffd", "")) - base) > 0]
+                    scored = ((v, d, w, use.usual(v.replace("\ufffd", ""), least=base + least)) for v, d, w in forms)
+                    out += [(u, n, d, w, v, g - base) for v, d, w, g in scored if g is not None and g - base > least]
             yield pd.DataFrame(out, columns=["unit", "n", "decoded", "written", "restored", "gain"])
 
-    return units.mapInPandas(run, "unit string, n bigint, decoded string, written string, restored string, gain double")
+    # few bytes but much work each: partitions of a set number
+    spread = units.select("unit", "n").repartition(4 * parallelism(units.sparkSession), "unit")
+    return spread.mapInPandas(run, "unit string, n bigint, decoded string, written string, restored string, gain double")
 
 
 def learn(units: DataFrame, counts: Usage | Broadcast, pairs: DataFrame | None = None) -> list[tuple[str, str]]:
@@ -460,7 +471,7 @@ def learn(units: DataFrame, counts: Usage | Broadcast, pairs: DataFrame | None =
     shown = {(r["decoded"], r["written"]): r["n"] for r in by_twin.collect()}
     sure = {t for t, n in shown.items() if n >= SUPPORT}
     other = units.filter(~F.col("unit").rlike("[A-Za-z].*[A-Za-z]"))
-    tried = candidates(other, counts, transformations(), {}, False, sure).filter(F.col("gain") >= GAIN / 2)
+    tried = candidates(other, counts, transformations(), {}, False, sure, GAIN / 2 - 1e-9).filter(F.col("gain") >= GAIN / 2)
     known = units.select(F.col("unit").alias("restored"), F.col("n").alias("n_restored"))
     by_form = tried.join(known, "restored").filter(F.col("n_restored") > F.col("n")).select("decoded", "written", F.col("unit").alias("case"))
     for r in by_form.groupBy("decoded", "written").agg(F.countDistinct("case").alias("n")).collect():
