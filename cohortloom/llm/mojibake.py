@@ -28,6 +28,7 @@ are looked at whole, however long.
 from __future__ import annotations
 
 import codecs
+import importlib
 import math
 import re
 from collections.abc import Iterator
@@ -115,6 +116,13 @@ def raw_bytes(text: str, decoded: str) -> list[bytes | str]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _decoder(codec: str) -> tuple:
+    """What decodes bytes, and the table of a one-byte encoding, so that the call goes straight to it."""
+    table = getattr(importlib.import_module(f"encodings.{codec}"), "decoding_table", None)
+    return (codecs.getdecoder(codec), None) if table is None else (codecs.charmap_decode, table)
+
+
 def undo(parts: list[bytes | str], written: str, lossy: bool = False) -> str | None:
     """Text whose bytes are decoded as they were written; None if nothing can be.
 
@@ -124,7 +132,10 @@ def undo(parts: list[bytes | str], written: str, lossy: bool = False) -> str | N
     if not lossy and written not in MULTI:
         # one part that does not decode rules the whole out, as below, but without building it up
         try:
-            return "".join([p if isinstance(p, str) else p.decode(written) for p in parts])
+            decode, table = _decoder(written)
+            if table is None:
+                return "".join([p if isinstance(p, str) else decode(p, "strict")[0] for p in parts])
+            return "".join([p if isinstance(p, str) else decode(p, "strict", table)[0] for p in parts])
         except UnicodeDecodeError:
             return None
     out, changed = [], False
@@ -435,7 +446,7 @@ def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[
     by, other = {}, {}
     for d, w in allowed:
         (other if (d, w) in explained else by).setdefault(d, []).append(w)
-    longest = max(map(len, maps), default=0)
+    longest, heads = max(map(len, maps), default=0), {g[0] for g in maps}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use = shared.value
@@ -444,7 +455,7 @@ def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[
             out = []
             for u, n in zip(df["unit"], df["n"]):
                 base = None
-                if maps:
+                if not heads.isdisjoint(u):
                     v = mapped_form(u, maps, longest)
                     if v != u:
                         base = use.usual(u, True)
@@ -460,7 +471,7 @@ def candidates(units: DataFrame, counts: Usage | Broadcast, allowed: list[tuple[
             yield pd.DataFrame(out, columns=["unit", "n", "decoded", "written", "restored", "gain"])
 
     # few bytes but much work each: partitions of a set number
-    spread = units.select("unit", "n").repartition(4 * parallelism(units.sparkSession), "unit")
+    spread = units.select("unit", "n").repartition(2 * parallelism(units.sparkSession), "unit")
     return spread.mapInPandas(run, "unit string, n bigint, decoded string, written string, restored string, gain double")
 
 
