@@ -122,7 +122,9 @@ def solve_group(cls: pd.DataFrame, info: pd.DataFrame, opts: Settings) -> pd.Dat
     member = [np.array([at[c, a] for c, k in key for a, _, _ in about.get(c, ()) if a < k], dtype=int) for key in keys]
     got = solve(weight, member, cov, opts, times) if atoms else np.zeros((0, len(samples)))
     i, j = np.nonzero(got)
-    return pd.DataFrame({"cid": [atoms[x][0] for x in i], "atom": [atoms[x][1] for x in i], "sample_id": [samples[x] for x in j], "em": got[i, j]})
+    out = pd.DataFrame({"cid": [atoms[x][0] for x in i], "atom": [atoms[x][1] for x in i], "sample_id": [samples[x] for x in j], "em": got[i, j]})
+    # an empty frame must have the types too
+    return out.astype({"cid": object, "atom": "int32", "sample_id": "int64", "em": "float64"})
 
 
 def abundances(cls: DataFrame, info: DataFrame, opts: Settings = Settings()) -> DataFrame:

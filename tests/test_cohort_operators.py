@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -192,16 +193,47 @@ def test_em_against_plain_loops():
         opts = em.Settings(max_iter=rng.choice([1, 5, 100]))
         got = em.solve(np.array(weight), [np.array(c) for c in member], np.array(cov, dtype=float), opts)
         want = np.array(plain_em(weight, member, cov, opts))
-        assert np.allclose(got, want, rtol=2e-2, atol=1e-3)
-
-
-def test_mono_em_is_the_same_in_closed_form(spark):
-    cov = [(1, 0, 10.0), (1, 1, 3.0), (2, 0, 1.0)]
-    got = {(r[0], r[1]): r[2] for r in em.mono_abundances(spark.createDataFrame(cov, "tx_idx bigint, sample_id bigint, cov double")).collect()}
-    for t in (1, 2):
-        c = {s: v for x, s, v in cov if x == t}
-        want = em.solve(np.array([0.1]), [np.array([0])], np.array([list(c.values())]))
-        assert np.allclose([got[t, s] for s in c], want[0], rtol=1e-3)
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+
+
+def test_a_group_settles_as_a_whole():
+    """Mono- and multi-exon transcripts of a group iterate together, and atoms stand for several transcripts."""
+    one = lambda *cids: [{"cid": c, "k": k} for c, k in cids]
+    cls = pd.DataFrame({"members": [one(("a", 2)), one(("a", 1), ("b", 1)), one(("mono:m", 1))], "sample_id": [0, 0, 0], "cov": [40.0, 7.0, 1000.0]})
+    info = pd.DataFrame([("a", 2, 2, 0, 3), ("a", 2, 2, 1, 2), ("b", 1, 1, 0, 1), ("mono:m", 0, 1, 0, 1)], columns=["cid", "n_sj", "covered", "atom", "times"])
+    got = {(r.cid, r.atom): r.em for r in em.solve_group(cls, info, em.Settings()).itertuples()}
+    w = [1 / 4] * 5 + [1 / 3, 1.0]
+    want = plain_em(w, [[0, 1, 2, 3, 4], [0, 1, 2, 5], [6]], [[40.0], [7.0], [1000.0]], em.Settings())
+    assert np.allclose([got["a", 0], got["a", 1], got["b", 0], got["mono:m", 0]], [want[0][0], want[3][0], want[5][0], want[6][0]], rtol=1e-9)
+    alone = plain_em([1.0], [[0]], [[1000.0]], em.Settings())[0][0]
+    assert not math.isclose(alone, plain_em([1 / 4], [[0]], [[7.0]], em.Settings())[0][0])
+    # a chain whose junctions are not all covered takes no part
+    info.loc[info.cid == "b", "covered"] = 0
+    assert "b" not in set(em.solve_group(cls, info, em.Settings()).cid)
+
+
+def test_matches_by_chain_agree_with_plain_ones(spark):
+    rng = random.Random(9)
+    chain = lambda: sorted({(100 * i + rng.choice([0, 0, 4, 30]), 100 * i + 50 + rng.choice([0, 0, 7, 25])) for i in rng.sample(range(5), rng.randint(1, 4))})
+    refs, recs = {f"c{i}": (rng.choice("AB"), chain()) for i in range(25)}, {f"p{i}": (rng.choice("AB"), chain()) for i in range(60)}
+    chains = spark.createDataFrame([(k, c, s) for k, (c, s) in refs.items()], f"cid string, chrom string, sj {PAIRS}")
+    pnir = spark.createDataFrame([(k, c, s, 2 * len(s)) for k, (c, s) in recs.items()], f"pid string, chrom string, sj {PAIRS}, n_sites int")
+    site = pnir.select("chrom", F.explode(g.junction_sites(F.col("sj"))).alias("pos"), "pid", "n_sites", F.lit("sj").alias("kind"))
+    full, run = set(), set()
+    for c, (x, ref) in refs.items():
+        for p, (y, rec) in recs.items():
+            if x != y:
+                continue
+            have, want = {v for j in rec for v in j}, {v for j in ref for v in j}
+            if len(ref) == len(rec) and all(any(abs(h - q) <= 10 for h in have) for q in want):
+                full.add((c, p))
+            near = lambda a, b: abs(a[0] - b[0]) <= 10 and abs(a[1] - b[1]) <= 10
+            first = next((i for i, t in enumerate(ref) if near(t, rec[0])), None)
+            if first is not None and len(rec) <= len(ref) and first + len(rec) <= len(ref) and all(near(ref[first + i], r) for i, r in enumerate(rec)):
+                run.add((c, p, first, len(rec)))
+    assert set(rows(match.full_chain_matches(chains, pnir, site, 10))) == full and full
+    assert set(rows(match.run_matches(chains, pnir, 10))) == run and run
+    assert match.full_chain_matches(chains.limit(0), pnir, site, 10).count() == 0 and match.run_matches(chains, pnir.limit(0), 10).count() == 0
 
 
 def test_first_junction_is_strict(spark):
