@@ -124,8 +124,13 @@ def named_value(attrs: Column, key: str) -> Column:
     return F.coalesce(F.get(F.transform(F.filter(fields, lambda x: x.startswith(f"{key}:")), lambda x: F.substring(x, F.lit(len(key) + 2), F.length(x))), F.lit(0)), F.lit(""))
 
 
+def number(text: Column) -> Column:
+    """A decimal number in plain or exponent form; null if the text is anything else."""
+    return F.when(text.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), text.try_cast("double"))
+
+
 def cpm_and_count(cell: Column) -> Column:
     """struct(cpm, count) of the first two parts of a cell; what is no number is 0, fractions of counts are cut."""
-    part = lambda i: F.get(F.split(cell, ":"), F.lit(i)).try_cast("double")
+    part = lambda i: number(F.get(F.split(cell, ":"), F.lit(i)))
     some = F.coalesce(cell.contains(":"), F.lit(False))
     return F.struct(F.when(some, F.coalesce(part(0), F.lit(0.0))).otherwise(0.0).alias("cpm"), F.when(some, F.coalesce(part(1).try_cast("bigint"), F.lit(0))).otherwise(0).alias("count"))

@@ -70,12 +70,6 @@ def ref_p12_mono_records(c: Cohort) -> DataFrame:
     return c.pnir.filter("is_mono").select("pid")
 
 
-@query("SELECT pid, total_evidence, n_samples FROM pnir WHERE n_samples >= 3")
-def ref_p14_positive_samples(c: Cohort) -> DataFrame:
-    per = c.profile.groupBy("pid").agg(F.count_if(F.col("evidence") >= 1).alias("n_samples"), F.sum("evidence").alias("total_evidence"))
-    return per.filter("n_samples >= 3").select("pid", "total_evidence", "n_samples")
-
-
 @query("SELECT pid, sj[1].d AS first_donor, list_transform(range(1, len(sj)), lambda i: sj[i + 1].d - sj[i].a) AS inner_exons FROM pnir WHERE len(sj) > 1")
 def ref_p17_inner_exons(c: Cohort) -> DataFrame:
     inner = F.transform(from_nth("sj", 2), lambda j, i: j["d"] - F.get("sj", i)["a"])
@@ -93,11 +87,6 @@ def ref_p9_transcripts_as_reads(c: Cohort) -> DataFrame:
     return build.with_signature(c.tx.withColumn("sample_id", F.lit(0))).select("sample_id", "tx_idx", "pid")
 
 
-@query("SELECT gene_id, gene_name, gene_type, chrom, start, \"end\", sites FROM gene")
-def ref_s5_gene_index(c: Cohort) -> DataFrame:
-    return c.gene
-
-
 # ---- lookups
 
 

@@ -43,8 +43,15 @@ def ref_f11_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_f12_cell_parts(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "sample_chip").filter(F.col("init_string").rlike(r"^[0-9.]+:[0-9.]+(:|$)"))
-    return df.select("chip_id", tables.cell_part(F.col("init_string"), 0).alias("a"), tables.cell_part(F.col("init_string"), 1).alias("b")).distinct()
+    """All cells; parts that are no number are null, and 0 in the pair of cpm and count."""
+    cell = F.col("init_string")
+    df = table(spark, d, "sample_chip").select("chip_id", tables.cell_part(cell, 0).alias("a"), tables.cell_part(cell, 1).alias("b"), g.cpm_and_count(cell).alias("p"))
+    return df.select("chip_id", "a", "b", "p.cpm", "p.count").distinct()
+
+
+def ref_f12_named_values(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "transcript").select("tx_idx", *(g.named_value(F.col("orig_attrs"), k).alias(k) for k in ("gene_name", "level", "tag")))
+    return df.distinct()
 
 
 def ref_f13_math(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +127,7 @@ def ref_j21_sample_meta(spark: SparkSession, d: str) -> DataFrame:
     return c.profile.join(F.broadcast(names), "sample_id").groupBy("tissue").agg(F.sum("evidence").alias("evidence"))
 
 
+_NUMBER = r"CASE WHEN regexp_full_match(string_split(init_string, ':')[{0}], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(string_split(init_string, ':')[{0}] AS DOUBLE) END"
 QUERIES = {k: v for k, v in globals().items() if k.startswith("ref_")}
 SQL = {
     "ref_f1_f2_f3_chrom_names": f"SELECT DISTINCT chrom, {_BARE} AS bare, CASE WHEN starts_with(chrom, 'chr') THEN chrom ELSE 'chr' || chrom END AS padded, CASE WHEN regexp_replace(chrom, '^(chr)+', '') = 'MT' THEN 'M' ELSE regexp_replace(chrom, '^(chr)+', '') END AS plain FROM gene WHERE chrom IS NOT NULL",
@@ -127,7 +135,9 @@ SQL = {
     "ref_f5_f6_f7_ranges": "SELECT DISTINCT gene_idx, gene_start <= 830000 AND gene_end >= 820000 AS over, greatest(least(gene_start * 10000 - 820000, 2147483647), -2147483647) AS diff, greatest(gene_start - 815000, 0) AS sat FROM gene WHERE gene_start IS NOT NULL AND gene_end IS NOT NULL",
     "ref_f8_fields": r"SELECT DISTINCT line_id, len(f)::INT AS n, f[1] AS first FROM (SELECT line_id, CASE WHEN contains(raw_line, chr(9)) THEN string_split(raw_line, chr(9)) ELSE regexp_split_to_array(trim(raw_line, ' '), '\s+') END AS f FROM fusion_raw WHERE trim(raw_line, ' ') <> '')",
     "ref_f11_attributes": "SELECT DISTINCT tx_idx, gene_id AS gene, tx_id AS tx, '2' AS level, NULL AS none FROM transcript WHERE gene_id IS NOT NULL",
-    "ref_f12_cell_parts": r"SELECT DISTINCT chip_id, try_cast(split_part(init_string, ':', 1) AS DOUBLE) AS a, try_cast(split_part(init_string, ':', 2) AS DOUBLE) AS b FROM sample_chip WHERE regexp_matches(init_string, '^[0-9.]+:[0-9.]+(:|$)')",
+    "ref_f12_cell_parts": f"""SELECT DISTINCT chip_id, {_NUMBER.format(1)} AS a, {_NUMBER.format(2)} AS b, CASE WHEN contains(init_string, ':') THEN coalesce({_NUMBER.format(1)}, 0) ELSE 0 END AS cpm,
+  CASE WHEN contains(init_string, ':') THEN coalesce(try_cast(trunc({_NUMBER.format(2)}) AS BIGINT), 0) ELSE 0 END AS count FROM sample_chip""",
+    "ref_f12_named_values": "SELECT DISTINCT tx_idx, " + ", ".join(f"coalesce(list_filter(list_transform(string_split(orig_attrs, ';'), lambda x: trim(x)), lambda x: starts_with(x, '{k}:'))[1][{len(k) + 2}:], '') AS {k}" for k in ("gene_name", "level", "tag")) + " FROM transcript",
     "ref_f13_math": "SELECT o_orderkey, round(ln(o_totalprice), 6) AS ln, round(sqrt(o_totalprice), 6) AS root, round(exp(ln(o_totalprice) / 2), 6) AS half, round(pow(ln(o_totalprice), 2), 6) AS square FROM orders WHERE o_totalprice > 0",
     "ref_f14_strands": "SELECT DISTINCT tx_idx, CASE WHEN strand IN ('+', '1', '0', 'plus') THEN '+' WHEN strand IN ('-', '-1', 'minus') THEN '-' END AS strand FROM transcript",
     "ref_f15_json": "SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS j FROM nation",

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.genome import bare_chrom, split_fields
+from ..functions.genome import bare_chrom, number, split_fields
 from ..operators import stats
 from ..session import bounded_broadcast, durable, from_nth, parallelism
 
@@ -253,4 +253,4 @@ def merge_isoform(a: DataFrame, b: DataFrame, keys: list[str], totals_a: dict[st
 
 def cell_part(cell: Column, i: int) -> Column:
     """Part i (from 0) of a cell a:b:c as a number; null if it is none."""
-    return F.get(F.split(cell, ":"), F.lit(i)).try_cast("double")
+    return number(F.get(F.split(cell, ":"), F.lit(i)))
