@@ -416,7 +416,7 @@ def ref_j15_x4_fusion_regions(c: Cohort) -> DataFrame:
     q = _fusion_queries(c)
     near = lambda n: [(F.col(f"pos{n}") - 3000).alias(f"s{n}"), (F.col(f"pos{n}") + 3000).alias(f"e{n}")]
     found = fusion.region_reads(q.select("id", "chr1", *near(1), "chr2", *near(2)), c.site, c.reads)
-    return found.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
+    return found.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n", "supp")
 
 
 _CAND = """, cr AS (SELECT *, list_sort(flatten(list_transform(sj, lambda j: [j.d, j.a]))) AS main FROM reads WHERE supp_chrom IS NOT NULL),
