@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genome import junction_sites, junction_text
 from ..operators import build, em, fusion, match, quantify, splice, stats
+from ..operators.rangejoin import cross_keys, range_join
 from ..session import durable, from_nth
 from .projection import BASE, Cohort
 
@@ -103,12 +104,11 @@ def ref_j2_flank_lookup(c: Cohort) -> DataFrame:
 
 @query("SELECT DISTINCT tx_idx, pid, kind FROM tx JOIN site ON site.chrom = tx.chrom AND pos BETWEEN start AND \"end\"")
 def ref_j3_range_scan(c: Cohort) -> DataFrame:
-    from ..operators.rangejoin import range_join
-
-    # transcripts share intervals: each is looked up once
-    q = c.tx.select("chrom", "start", "end").distinct()
-    hits = range_join(q, c.site, F.col("start"), F.col("end"), "pos", 1 << 12).select("chrom", "start", "end", "pid", "kind").distinct()
-    return c.tx.select("tx_idx", "chrom", "start", "end").join(hits, ["chrom", "start", "end"]).select("tx_idx", "pid", "kind").distinct()
+    # transcripts share intervals: each is looked up once; a transcript is one row with all its intervals, so that its hits are distinct before they are written out
+    tx = durable(c.tx.groupBy("tx_idx").agg(F.array_sort(F.collect_set(F.struct("chrom", "start", "end"))).alias("at")))
+    q = tx.select("at").distinct().select("at", F.inline("at"))
+    hits = range_join(q, c.site, F.col("start"), F.col("end"), "pos", 1 << 12).select("at", "pid", "kind").distinct()
+    return cross_keys(tx, durable(hits), "at")
 
 
 @query("SELECT tx_idx, sj_no, side, count(DISTINCT pid) AS n FROM hits GROUP BY ALL")
